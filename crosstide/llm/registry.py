@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, url_filter
+from . import chat_format, decontaminate, fingerprint, language_id, packing, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontaminate": decontaminate.query,
+        "op4_language_id": language_id.query,
+        "op6_packing": packing.query,
+        "op7_fingerprint": fingerprint.query,
         "op8_chat_format": chat_format.query,
         "op10_url_filter": url_filter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat_format.SQL, "op10_url_filter": url_filter.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op8_chat_format": chat_format.SQL, "op10_url_filter": url_filter.SQL}
