@@ -36,7 +36,7 @@ ROWS = 4000
 class ChunkEncoder:
     """text -> its ids as little-endian unsigned 32-bit bytes."""
 
-    CHUNKS, WORDS = 300_000, 200_000
+    CHUNKS, WORDS = 300_000, 400_000
     ODD = re.compile("[^\n\r\t\x20-\x7e\xa1-ɏ]")
     BLANK = re.compile("[ \t\n\r]+")
 
@@ -72,17 +72,25 @@ class ChunkEncoder:
                 out |= {w: np.array(self.words.encode(w, add_special_tokens=False).ids, np.uint32).tobytes() for w in part}
         return out
 
+    def words_in(self, chunk: str) -> list[str] | None:
+        """The tokenizer's words in a chunk; none if the tokenizer itself has to look at it."""
+        stem = chunk.rstrip(".,")
+        if stem.isalpha() and not self.ODD.search(stem):
+            return [stem.lower()] if len(stem) == len(chunk) else [stem.lower(), chunk[len(stem) :]]
+        return None if self.ODD.search(chunk) or "<|" in chunk else self.pattern.findall(chunk.lower())
+
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that the cache lacks; it takes them in while it has room."""
-        got, split = {}, {}
+        got, split, known = {}, {}, self.of_word
         for c in chunks:
-            if self.ODD.search(c) or "<|" in c:
+            words = self.words_in(c)
+            if words is None:
                 got[c] = np.array(self.whole.encode(c, add_special_tokens=False).ids, np.uint32).tobytes()
             else:
-                split[c] = self.pattern.findall(c.lower())
-        new = self._encode_words(list({w for ws in split.values() for w in ws} - self.of_word.keys()))
+                split[c] = words
+        new = self._encode_words(list({w for ws in split.values() for w in ws if w not in known}))
         for c, ws in split.items():
-            got[c] = b"".join([new[w] if w in new else self.of_word[w] for w in ws])
+            got[c] = b"".join([known[w] if w in known else new[w] for w in ws])
         if len(self.of_word) < self.WORDS:
             self.of_word |= new
         if len(self.of_chunk) < self.CHUNKS:
@@ -90,14 +98,22 @@ class ChunkEncoder:
         return got
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            chunks = self.BLANK.split(text.strip(" \t\n\r")) if self.ODD.search(text) else text.split()
-            known = self.of_chunk
-            try:
-                yield b"".join([known[c] for c in chunks])
-            except KeyError:
-                more = self.learn({c for c in chunks if c and c not in known})
-                yield b"".join([more[c] if c in more else known[c] for c in chunks if c])
+        get, rows, gaps = self.of_chunk.get, [], []
+        for t in texts:
+            chunks = self.BLANK.split(t.strip(" \t\n\r")) if self.ODD.search(t) else t.split()
+            ids = list(map(get, chunks))
+            rows.append(ids)
+            if None in ids:
+                k = -1
+                for _ in range(ids.count(None)):
+                    k = ids.index(None, k + 1)
+                    gaps.append((ids, k, chunks[k]))
+        more = self.learn({c for _, _, c in gaps if c}) if gaps else {}
+        more[""] = b""
+        for ids, k, c in gaps:
+            ids[k] = more[c]
+        for ids in rows:
+            yield b"".join(ids)
 
 
 _encoders: dict[str, ChunkEncoder] = {}
