@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from crosstide.shipping import ship
 
@@ -153,6 +154,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "
     """columns of docs with lang_pred and score; keep: (lang, score) -> whether the row stays."""
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     n = len(columns)
+    place = columns.index(text_col) if text_col in columns else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _models:
@@ -160,13 +162,19 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "
             _models[key] = sent.value
         m = _models[key]
         for b in batches:
-            got = [m.predict(t) for k in range(0, b.num_rows, 512) for t in b.column(n).slice(k, 512).to_pylist()]
+            got = [m.predict(t) for k in range(0, b.num_rows, 512) for t in b.column(place).slice(k, 512).to_pylist()]
             out = pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*columns, "lang_pred", "score"])
             yield out if keep is None else out.filter(pa.array([keep(*g) for g in got], pa.bool_()))
 
-    fields = docs.select(*columns)
-    schema = fields.schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*columns, F.col(text_col).alias("text to judge")).mapInArrow(run, schema)
+    rows = docs.select(*columns) if place < n else docs.select(*columns, F.col(text_col).alias("text to judge"))
+    schema = StructType([*docs.select(*columns).schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
+    return rows.mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, without texts whose language can't be told; learnt from the labelled ones that aren't held out."""
+    model = fit(docs.where(~held_out(id_col)), id_col, text_col)
+    return predict(docs, model, docs.columns, text_col, keep=lambda lang, _: lang != UNKNOWN).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A document's set holds the distinct runs of `width` words; links are confirmed on whole sets. Documents with equal
 sets form a class, of which the least id goes on. The forest: TREES sorted orders of the signatures, each beginning
-at another value. In an order, documents that share MIN_DEPTH values form a region; within it the order goes on to
+at another value. In an order, documents that share its first 4 values form a region; within it the order goes on to
 DEPTH values, so a crowded region is told apart as deep as it needs. Neighbours by longest common prefix are joined
 within their region; what hangs together over all trees is a thicket, and no link leaves one: a pair at the threshold
 misses a region in all 16 trees with probability 7e-6.
@@ -12,7 +12,8 @@ the likely pairs that aren't yet connected. Larger thickets are cut in several c
 per component; hubs are settled likewise until one cell holds them. What is left then in several components is
 searched region by region: documents outside a region's largest component against the region, so nothing is lost.
 
-Likely: signatures agree in LIKELY of 64 values; at a similarity of 0.85 fewer agree with probability 3e-7.
+Likely: signatures agree in 16 values fewer than the threshold's share of 64, or in more; a linked pair has fewer
+with probability 3e-7 at 0.85 and 7e-7 at 0.8. Under 0.85 regions share one value less, to miss as little.
 
 Null or empty text, or no words: an empty set, linked with nothing. Null ids: linked with nothing, component null,
 kept. Repeated ids share a component. Other columns are left out of `components`; `drop_near` keeps all columns.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, WordHashes, id_text, mixed, partitions, shingle_hashes, table, written
 
 WIDTH, PERCENT = 3, 85
-VALUES, TREES, MIN_DEPTH, DEPTH, LIKELY, CELL = 64, 16, 4, 8, 38, 256
+VALUES, TREES, DEPTH, CELL = 64, 16, 8, 256
 
 _FACTORS = (mixed(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _hashes = WordHashes()
@@ -64,6 +65,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
+def shared(percent: int) -> tuple[int, int]:
+    """Values that a region shares, and values in which signatures have to agree to be looked at."""
+    return 4 if percent >= 85 else 3 if percent >= 75 else 2, max(1, VALUES * percent // 100 - 16)
+
+
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,9 +96,8 @@ def _sets(width: int):
     return run
 
 
-def _neighbours(ends: bool):
+def _neighbours(size: int, ends: bool):
     """Rows (tree, key, doc_id) in order -> pairs (a, b) of a region: each document and the region's first one here, and the part's two ends."""
-    size = 4 * MIN_DEPTH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now, head, first, last = [], None, None, None, None
@@ -141,6 +146,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _settle(percent: int):
     """A cell's documents -> (doc_id, hub): the least document of its component here."""
+    likely = shared(percent)[1]
 
     def run(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
@@ -156,7 +162,7 @@ def _settle(percent: int):
             return k
 
         for k in range(len(ids)):
-            for j in np.flatnonzero((sigs[:k] == sigs[k]).sum(axis=1) >= LIKELY).tolist():
+            for j in np.flatnonzero((sigs[:k] == sigs[k]).sum(axis=1) >= likely).tolist():
                 a, b = top(k), top(j)
                 if a != b and linked(items[k], items[j], percent):
                     parent[max(a, b)] = min(a, b)
@@ -176,7 +182,7 @@ def _leftover(trees: DataFrame, inside: DataFrame, label: DataFrame, sets: DataF
 
     inside: (node, thicket) of those thickets; label: (node, component); trees: (tree, key, doc_id)."""
     regions = trees.join(inside.select(F.col("node").alias("doc_id")), "doc_id").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    regions = written(regions.select("tree", F.substring("key", 1, 4 * MIN_DEPTH).alias("region"), "doc_id", F.coalesce("component", "doc_id").alias("component")), "regions")
+    regions = written(regions.select("tree", F.substring("key", 1, 4 * shared(percent)[0]).alias("region"), "doc_id", F.coalesce("component", "doc_id").alias("component")), "regions")
     sizes = regions.groupBy("tree", "region", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("tree", "region").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
     mixed_up = regions.join(largest, ["tree", "region"])
@@ -185,14 +191,17 @@ def _leftover(trees: DataFrame, inside: DataFrame, label: DataFrame, sets: DataF
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = sets.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("items").alias("items_b"))
-    likely = pairs.join(left.drop("items_a"), "a").join(right.drop("items_b"), "b").mapInArrow(_likely, "a long, b long")
+    likely = pairs.join(left.drop("items_a"), "a").join(right.drop("items_b"), "b").mapInArrow(_likely(shared(percent)[1]), "a long, b long")
     return likely.join(left.drop("sig_a"), "a").join(right.drop("sig_b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(_confirmed(percent), "a long, b long")
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        same = [int((np.frombuffer(x, ">u4") == np.frombuffer(y, ">u4")).sum()) >= LIKELY for x, y in zip(b.column("sig_a").to_pylist(), b.column("sig_b").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+def _likely(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = [int((np.frombuffer(x, ">u4") == np.frombuffer(y, ">u4")).sum()) >= least for x, y in zip(b.column("sig_a").to_pylist(), b.column("sig_b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    return run
 
 
 def _confirmed(percent: int):
@@ -215,10 +224,11 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     ring = F.concat("sig", F.substring("sig", 1, 4 * DEPTH))
     trees = classes.select("doc_id", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring(ring, 4 * (t * VALUES // TREES) + 1, 4 * DEPTH).alias("key")) for t in range(TREES)])).alias("t")).select("t.tree", "t.key", "doc_id")
     ordered = trees.repartitionByRange(partitions(spark), "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
+    size = 4 * shared(percent)[0]
     schema = "a long, b long, tree int, key binary, doc_id long"
-    pairs = written(ordered.mapInArrow(_neighbours(True), schema), "neighbours")
+    pairs = written(ordered.mapInArrow(_neighbours(size, True), schema), "neighbours")
     ends = pairs.where("doc_id is not null").select("tree", "key", "doc_id").repartition(1).sortWithinPartitions("tree", "key", "doc_id")
-    edges = pairs.where("a is not null").select("a", "b").unionByName(ends.mapInArrow(_neighbours(False), schema).where("a is not null").select("a", "b"))
+    edges = pairs.where("a is not null").select("a", "b").unionByName(ends.mapInArrow(_neighbours(size, False), schema).where("a is not null").select("a", "b"))
     thickets = written(components(edges).withColumnRenamed("component", "thicket"), "thickets")
 
     inside = thickets.withColumnRenamed("node", "doc_id")

@@ -166,8 +166,13 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: i
     return out.select("doc_id", "start", "length", "ids", "doc_tokens", "bucket", F.monotonically_increasing_id().alias("sequence_id"), "offset")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def digests(docs: DataFrame) -> DataFrame:
+    """The pieces of docs with a checksum for the ids."""
     import public_tokenizers
 
-    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    out = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
