@@ -25,7 +25,7 @@ SIGNALS: dict[str, tuple[str, str, int]] = {
     "flagship_reversal_vol": ("rank(-returns(5) / volatility(20))", WEEK, 6),
     # fields and primitives
     "field_scan": ("field('volume')", WEEK, 6),
-    "field_ohlc": ("high() - low() + open()", WEEK, 6),
+    "field_ohlc": ("high() - low() + open()", WEEK, 8),
     "returns": ("returns(3)", WEEK, 6),
     "volatility": ("volatility(6)", WEEK, 6),
     "volume": ("volume(3)", MONTH, 6),
@@ -69,10 +69,10 @@ SIGNALS: dict[str, tuple[str, str, int]] = {
     "ts_corr": ("ts_corr(returns(1), volume(1), 8)", MONTH, 6),
     "ts_cov": ("ts_cov(returns(1), volume(1), 8)", MONTH, 6),
     "ts_beta": ("ts_beta(returns(1), volume(1), 8)", MONTH, 6),
-    "ewma": ("ewma(close(), 5)", WEEK, 4),
+    "ewma": ("ewma(close(), 5)", WEEK, 6),
     "ewma_var": ("ewma_var(returns(1), 5)", WEEK, 6),
     "ewma_cov": ("ewma_cov(returns(1), volume(1), 5)", WEEK, 6),
-    "ts_beta_ewma": ("ts_beta_ewma(returns(1), volume(1), 5)", WEEK, 6),
+    "ts_beta_ewma": ("ts_beta_ewma(volume(1), close(), 5)", WEEK, 6),
     "ts_argmax": ("ts_argmax(close(), 6)", MONTH, 6),
     "ts_argmin": ("ts_argmin(close(), 6)", MONTH, 6),
     "ts_skew": ("ts_skew(returns(1), 8)", MONTH, 6),
@@ -115,7 +115,7 @@ SIGNALS: dict[str, tuple[str, str, int]] = {
 }
 
 Query = Callable[[SparkSession, str], DataFrame]
-MOMENTUM, REVERSAL = "rank(returns(13)) - 0.5", "rank(-returns(5)) - 0.5"
+MOMENTUM, EVALUATED = "rank(returns(13)) - 0.5", "rank(volume(1)) - 0.5"
 
 
 def rounded(c: str, digits: int = 6):
@@ -135,7 +135,7 @@ def _signal_sql(expression: str, grain: str, digits: int) -> str:
     return f"SELECT date, ticker, {srounded('value', digits)} FROM ({to_sql({'value': alpha(expression)}, supplier_panel_sql(grain))})"
 
 
-_HELD = f"""w0 AS ({to_sql({'seen': alpha(REVERSAL), 'forward': forward_returns(1)}, brand_panel_sql())}),
+_HELD = f"""w0 AS ({to_sql({'seen': alpha(EVALUATED), 'forward': forward_returns(1)}, brand_panel_sql())}),
 w1 AS (SELECT *, coalesce(seen / nullif(sum(abs(seen)) OVER (PARTITION BY date), 0), 0) AS weight, max((forward IS NOT NULL)::INT) OVER (PARTITION BY date) AS ok FROM w0),
 held AS (SELECT * FROM w1 WHERE ok = 1)"""
 
@@ -152,7 +152,7 @@ _DAILY = ("pnl", "turnover", "gmv", "returns", "cumulative", "cumulative_pnl")
 
 
 def _backtest(cost: float) -> Query:
-    return lambda spark, d: Backtest(alpha(REVERSAL), transaction_cost=cost).daily(brand_panel(spark, d)).select("date", *map(rounded, _DAILY), "longs", "shorts")
+    return lambda spark, d: Backtest(alpha(EVALUATED), transaction_cost=cost).daily(brand_panel(spark, d)).select("date", *map(rounded, _DAILY), "longs", "shorts")
 
 
 def _backtest_sql(cost: float) -> str:
@@ -173,12 +173,12 @@ _DROP = "(cumulative - max(cumulative) OVER (ORDER BY date ROWS UNBOUNDED PRECED
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    days = Backtest(alpha(REVERSAL)).daily(brand_panel(spark, d))
+    days = Backtest(alpha(EVALUATED)).daily(brand_panel(spark, d))
     r = F.col("returns")
     days = metrics.drawdowns_of(days.withColumn("value", F.col("cumulative")))
     out = days.agg(
         metrics.sharpe_of(r).alias("sharpe"), metrics.return_of(r).alias("annual_return"), metrics.volatility_of(r).alias("annual_volatility"), metrics.sortino_of(r).alias("sortino"), (-F.min("drop")).alias("max_drawdown"),
-        (F.sum("pnl") / F.avg("gmv")).alias("return_gmv"), (metrics.return_of(r) / -F.min("drop")).alias("calmar"), F.avg("turnover").alias("turnover"),
+        F.try_divide(F.sum("pnl"), F.avg("gmv")).alias("return_gmv"), F.try_divide(metrics.return_of(r), -F.min("drop")).alias("calmar"), F.avg("turnover").alias("turnover"),
     )
     return out.select(*[rounded(c, 4) for c in out.columns])
 
@@ -186,11 +186,11 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
 _METRICS_SQL = f"""WITH {_HELD}, {_days(0)}, f AS (SELECT *, {_DROP} AS drop FROM days)
 SELECT round({_SHARPE}, 4) + 0.0 AS sharpe, round(avg(returns) * 252, 4) + 0.0 AS annual_return, round(stddev_samp(returns) * sqrt(252), 4) + 0.0 AS annual_volatility,
 round(avg(returns) / sqrt(avg(returns * returns) FILTER (returns < 0)) * sqrt(252), 4) + 0.0 AS sortino, round(-min(drop), 4) + 0.0 AS max_drawdown, round(sum(pnl) / avg(gmv), 4) + 0.0 AS return_gmv,
-round(avg(returns) * 252 / -min(drop), 4) + 0.0 AS calmar, round(avg(turnover), 4) + 0.0 AS turnover FROM f"""
+round(avg(returns) * 252 / nullif(-min(drop), 0), 4) + 0.0 AS calmar, round(avg(turnover), 4) + 0.0 AS turnover FROM f"""
 
 
 def _drawdowns(spark: SparkSession, d: str) -> DataFrame:
-    days = Backtest(alpha(REVERSAL)).daily(brand_panel(spark, d)).select("date", F.round("cumulative", 9).alias("value"))
+    days = Backtest(alpha(EVALUATED)).daily(brand_panel(spark, d)).select("date", F.round("cumulative", 9).alias("value"))
     return metrics.drawdown_table(days).orderBy(F.desc("depth"), "start").limit(5).select("start", "trough", "end", rounded("depth"), "duration", "recovery")
 
 
@@ -202,7 +202,7 @@ SELECT start, trough, coalesce(after, last) AS "end", round(depth, 6) + 0.0 AS d
 
 
 def _walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    found = Backtest(alpha(REVERSAL)).run_walk_forward(brand_panel(spark, d), 26, 13)
+    found = Backtest(alpha(EVALUATED)).run_walk_forward(brand_panel(spark, d), 26, 13)
     return found.select("start", "end", *[rounded(c, 4) for c in ("sharpe", "return", "volatility", "max_drawdown")])
 
 

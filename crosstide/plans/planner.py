@@ -145,7 +145,7 @@ def _recent(panel: DataFrame, start, back: int) -> DataFrame:
 
 def _ewma_by_ticker(panel: DataFrame, x: Signal, inputs: list[str], name: str) -> DataFrame:
     """Histories too long for plain weights: a ticker at a time, with pandas."""
-    from pyspark.sql.types import DoubleType, StructType
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
     from crosstide.shipping import ship
 
@@ -166,7 +166,7 @@ def _ewma_by_ticker(panel: DataFrame, x: Signal, inputs: list[str], name: str) -
             pdf[name] = e.cov(pdf[inputs[1]].where(np.isfinite(pdf[inputs[1]].astype(float))))
         return pdf
 
-    schema = StructType(panel.schema.fields).add(name, DoubleType())
+    schema = StructType([*panel.schema.fields, StructField(name, DoubleType())])
     out = panel.groupBy("ticker").applyInPandas(run, schema)
     return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
