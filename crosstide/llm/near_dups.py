@@ -26,13 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, WordHashes, id_text, mixed, partitions, shingle_hashes, table, written
 
 WIDTH, PERCENT = 3, 85
-VALUES, TREES, DEPTH, CELL = 64, 16, 8, 256
+VALUES, TREES, DEPTH, CELL, SAMPLE = 64, 16, 8, 256, 16
 
 _FACTORS = (mixed(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _hashes = WordHashes()
@@ -177,40 +177,57 @@ def _cells(members: DataFrame, cell: int) -> DataFrame:
     return members.join(sizes, "thicket").withColumn("block", F.when(F.col("cells") > 1, F.pmod(F.xxhash64("doc_id", "cells"), F.col("cells"))).otherwise(F.lit(0)))
 
 
-def _leftover(trees: DataFrame, inside: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of thickets that took several cells, searched region by region.
+def _samples(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, thicket): SAMPLE documents of each component of two or more that a cell of a larger thicket found."""
+    own = Window.partitionBy("thicket", "block", "hub")
+    rows = members.where("cells > 1").join(found, "doc_id").withColumns({"n": F.count(F.lit(1)).over(own), "at": F.row_number().over(own.orderBy(F.xxhash64("doc_id", F.lit("sample"))))})
+    return rows.where((F.col("n") > 1) & (F.col("at") <= SAMPLE)).select("doc_id", "thicket")
 
-    inside: (node, thicket) of those thickets; label: (node, component); trees: (tree, key, doc_id)."""
-    regions = trees.join(inside.select(F.col("node").alias("doc_id")), "doc_id").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    regions = written(regions.select("tree", F.substring("key", 1, 4 * shared(percent)[0]).alias("region"), "doc_id", F.coalesce("component", "doc_id").alias("component")), "regions")
-    sizes = regions.groupBy("tree", "region", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("tree", "region").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    mixed_up = regions.join(largest, ["tree", "region"])
-    minor = mixed_up.where("component <> most").select("tree", "region", F.col("doc_id").alias("a"), F.col("component").alias("of_a"))
-    pairs = minor.join(mixed_up.select("tree", "region", F.col("doc_id").alias("b"), F.col("component").alias("of_b")), ["tree", "region"]).where("of_a <> of_b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = sets.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("items").alias("items_b"))
-    likely = pairs.join(left.drop("items_a"), "a").join(right.drop("items_b"), "b").mapInArrow(_likely(shared(percent)[1]), "a long, b long")
-    return likely.join(left.drop("sig_a"), "a").join(right.drop("sig_b"), "b").select("a", "b", "items_a", "items_b").mapInArrow(_confirmed(percent), "a long, b long")
 
+def _cross(percent: int):
+    """A cell and a share of its thicket's documents outside the main component -> links (a, b) between components."""
+    likely = shared(percent)[1]
 
-def _likely(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            same = [int((np.frombuffer(x, ">u4") == np.frombuffer(y, ">u4")).sum()) >= least for x, y in zip(b.column("sig_a").to_pylist(), b.column("sig_b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+    def run(rows: pa.Table) -> pa.Table:
+        ids, label, guest = (rows.column(c).to_pylist() for c in ("doc_id", "component", "guest"))
+        sigs = np.stack([np.frombuffer(x, ">u4").astype(np.uint32) for x in rows.column("sig").to_pylist()])
+        items, parent = rows.column("items"), {c: c for c in label}
+        here = np.array([k for k, g in enumerate(guest) if not g], np.int64)
+
+        def top(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        out = []
+        for k in [k for k, g in enumerate(guest) if g]:
+            mine = None
+            for j in here[(sigs[here] == sigs[k]).sum(axis=1) >= likely].tolist():
+                a, b = top(label[k]), top(label[j])
+                if a != b:
+                    mine = np.frombuffer(items[k].as_py(), np.uint64) if mine is None else mine
+                    if linked(mine, np.frombuffer(items[j].as_py(), np.uint64), percent):
+                        parent[max(a, b)] = min(a, b)
+                        out.append((ids[k], ids[j]))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
 
-def _confirmed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            same = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column("items_a"), b.column("items_b"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    return run
+def _leftover(large: DataFrame, label: DataFrame, sets: DataFrame, percent: int, cell: int) -> DataFrame:
+    """Links (a, b) across the cells of thickets: every document outside a thicket's main component against every cell
+    but its own. large: (doc_id, thicket, cells, block), label: (node, component)."""
+    rows = large.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = written(rows, "large")
+    sizes = rows.groupBy("thicket", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("thicket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / (4 * cell)).cast("int").alias("shares")).where("shares > 0")
+    rows = rows.join(main, "thicket")
+    minor = rows.where("component <> main").select("doc_id", "thicket", "component", F.pmod(F.xxhash64("doc_id", F.lit("share")), F.col("shares")).cast("int").alias("share"), F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("block"))
+    guests = minor.where("own <> block").select("doc_id", "thicket", F.col("block").cast("long").alias("block"), "share", "component", F.lit(True).alias("guest"))
+    hosts = rows.select("doc_id", "thicket", F.col("block").cast("long").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "component", F.lit(False).alias("guest"))
+    both = guests.unionByName(hosts).join(sets, "doc_id")
+    return both.groupBy("thicket", "block", "share").applyInArrow(_cross(percent), "a long, b long")
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,15 +262,14 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         n = several.count()
         if not n:
             break
-        large = several.select(F.col("doc_id").alias("node"), "thicket") if large is None else large
-        hubs = several.join(found.where("doc_id = hub").select("doc_id"), "doc_id").select("doc_id", "thicket")
-        m = hubs.count()
-        if m == n:
+        large = members.where("cells > 1") if large is None else large
+        samples = written(_samples(members, found), "samples")
+        if samples.count() > n // 2:
             break
-        members = _cells(hubs, cell)
+        members = _cells(samples, cell)
     label = components(links)
     if large is not None:
-        more = _leftover(trees, large, label, sets, percent)
+        more = _leftover(large, label, sets, percent, cell)
         label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(written(more, "leftover")))
     named = classes.select("key", F.col("doc_id").alias("node")).join(label, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     return signed.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
