@@ -60,7 +60,7 @@ class Model:
             votes[n].append([counts.get(x, 0) for x in self.languages])
         self.votes = []
         for n in range(LONGEST + 1):
-            v = np.array(votes[n], np.float64).reshape(-1, len(self.languages))
+            v = np.array(votes[n], np.float64).reshape(len(votes[n]), len(self.languages))
             total = np.array([totals.get(n, {}).get(x, 0) for x in self.languages], np.float64)
             self.votes.append(np.log((v + 0.5) / (total + 0.5 * max(1, len(v)))))
         self.seen: dict[str, np.ndarray] = {}

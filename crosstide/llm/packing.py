@@ -37,7 +37,8 @@ class ChunkEncoder:
     """text -> its ids as little-endian unsigned 32-bit bytes."""
 
     CHUNKS, WORDS = 300_000, 400_000
-    ODD = re.compile("[^\n\r\t\x20-\x7e\xa1-ɏ]")
+    #: Whatever is not Latin, and the capital I with a dot, whose small form is two characters.
+    ODD = re.compile("[^\n\r\t\x20-\x7e\xa1-\u012f\u0131-\u024f]")
     BLANK = re.compile("[ \t\n\r]+")
 
     def __init__(self, path: str):
