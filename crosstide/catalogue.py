@@ -25,7 +25,7 @@ SIGNALS: dict[str, tuple[str, str, int]] = {
     "flagship_reversal_vol": ("rank(-returns(5) / volatility(20))", WEEK, 6),
     # fields and primitives
     "field_scan": ("field('volume')", WEEK, 6),
-    "field_ohlc": ("high() - low() + open()", WEEK, 8),
+    "field_ohlc": ("high() - low() + open()", WEEK, 6),
     "returns": ("returns(3)", WEEK, 6),
     "volatility": ("volatility(6)", WEEK, 6),
     "volume": ("volume(3)", MONTH, 6),
@@ -33,7 +33,7 @@ SIGNALS: dict[str, tuple[str, str, int]] = {
     # elementwise
     "add": ("close() + volume(1)", WEEK, 6),
     "sub": ("close() - open()", WEEK, 6),
-    "mul": ("close() * 0.5", WEEK, 8),
+    "mul": ("close() * 0.5", WEEK, 6),
     "div": ("(close() - open()) / (high() - low())", WEEK, 6),
     "neg": ("-close()", WEEK, 6),
     "greater": ("close() > open()", WEEK, 6),
@@ -88,7 +88,7 @@ SIGNALS: dict[str, tuple[str, str, int]] = {
     "zscore": ("zscore(close())", WEEK, 6),
     "demean": ("demean(close())", WEEK, 6),
     "quantile": ("quantile(close(), 5)", WEEK, 6),
-    "winsorize": ("winsorize(close(), 0.05)", WEEK, 8),
+    "winsorize": ("winsorize(close(), 0.05)", WEEK, 6),
     "scale": ("scale(returns(1))", WEEK, 6),
     "truncate": ("truncate(returns(1), 0.1)", WEEK, 6),
     # per date and group

@@ -58,40 +58,61 @@ def ratio(a: str, b: str) -> Column:
     return div(F.col(a), F.col(b))
 
 
+def _cents() -> Column:
+    return F.round(F.col("l_extendedprice") * 100).cast("long")
+
+
+def _quantity() -> Column:
+    return F.col("l_quantity").cast("long")
+
+
+def _price(cents: Column, quantity: Column) -> Column:
+    """Whole cents a piece, rounded down: integers until the last division, so all engines agree to the bit."""
+    return (cents - cents % quantity) / quantity / F.lit(100.0)
+
+
 def supplier_panel(spark, sf_dir: str, grain: str = "week") -> DataFrame:
     """Prices and volumes of suppliers' line items by week or month, with the supplier's region and nation."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    traded = read("lineitem").groupBy(F.to_date(F.date_trunc(grain, "l_shipdate")).alias("date"), F.col("l_suppkey").cast("string").alias("ticker"))
-    traded = traded.agg(
-        F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("close"),
-        F.sum("l_quantity").alias("volume"),
-        F.round(F.min(F.col("l_extendedprice") / F.col("l_quantity")), 8).alias("low"),
-        F.round(F.max(F.col("l_extendedprice") / F.col("l_quantity")), 8).alias("high"),
-        F.round(F.min_by(F.col("l_extendedprice") / F.col("l_quantity"), F.struct("l_shipdate", "l_orderkey", "l_linenumber")), 8).alias("open"),
+    items = read("lineitem").where("l_quantity >= 1").select("l_shipdate", "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("ticker"), _cents().alias("cents"), _quantity().alias("quantity"))
+    items = items.withColumn("price", _price(F.col("cents"), F.col("quantity")))
+    traded = items.groupBy(F.to_date(F.date_trunc(grain, "l_shipdate")).alias("date"), "ticker").agg(
+        _price(F.sum("cents"), F.sum("quantity")).alias("close"),
+        F.sum("quantity").cast("double").alias("volume"),
+        F.min("price").alias("low"),
+        F.max("price").alias("high"),
+        F.min_by("price", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "price")).alias("open"),
     )
-    traded = traded.withColumn("event", F.when(F.col("volume") > 60, F.round(F.col("volume") / 10, 6)))
+    traded = traded.withColumn("event", F.when(F.col("volume") > 60, F.col("volume") / 10))
     nations = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     profiles = read("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("string").alias("ticker"), F.col("r_name").alias("sector"), F.col("n_name").alias("nation"))
     return with_static(densify(traded), profiles, ["sector", "nation"])
 
 
+def _sprice(cents: str, quantity: str) -> str:
+    return f"((({cents}) - ({cents}) % ({quantity}))::DOUBLE / ({quantity})::DOUBLE / 100.0::DOUBLE)"
+
+
+_CENTS, _QUANTITY = "round(l_extendedprice * 100)::BIGINT", "l_quantity::BIGINT"
+
+
 def supplier_panel_sql(grain: str = "week") -> str:
     """The same in DuckDB's SQL."""
-    return f"""SELECT d.date, t.ticker, close, volume, low, high, open, CASE WHEN volume > 60 THEN round(volume / 10, 6) END AS event, r_name AS sector, n_name AS nation
+    return f"""SELECT d.date, t.ticker, close, volume, low, high, open, CASE WHEN volume > 60 THEN volume / 10 END AS event, r_name AS sector, n_name AS nation
 FROM (SELECT DISTINCT date_trunc('{grain}', l_shipdate)::DATE AS date FROM lineitem) d CROSS JOIN (SELECT DISTINCT l_suppkey::VARCHAR AS ticker FROM lineitem) t
-LEFT JOIN (SELECT date_trunc('{grain}', l_shipdate)::DATE AS date, l_suppkey::VARCHAR AS ticker, round(sum(l_extendedprice) / sum(l_quantity), 6) AS close, sum(l_quantity) AS volume,
-  round(min(l_extendedprice / l_quantity), 8) AS low, round(max(l_extendedprice / l_quantity), 8) AS high, round(arg_min(l_extendedprice / l_quantity, {{'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber}}), 8) AS open FROM lineitem GROUP BY 1, 2) x ON x.date = d.date AND x.ticker = t.ticker
+LEFT JOIN (SELECT date, ticker, {_sprice('sum(cents)', 'sum(quantity)')} AS close, sum(quantity)::DOUBLE AS volume, min(price) AS low, max(price) AS high, arg_min(price, {{'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': price}}) AS open
+  FROM (SELECT *, date_trunc('{grain}', l_shipdate)::DATE AS date, l_suppkey::VARCHAR AS ticker, {_CENTS} AS cents, {_QUANTITY} AS quantity, {_sprice(_CENTS, _QUANTITY)} AS price FROM lineitem WHERE l_quantity >= 1) GROUP BY date, ticker) x ON x.date = d.date AND x.ticker = t.ticker
 LEFT JOIN supplier ON s_suppkey::VARCHAR = t.ticker LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey"""
 
 
 def brand_panel(spark, sf_dir: str, grain: str = "month") -> DataFrame:
     """Prices and volumes of brands' line items, near dense and smoother than a supplier's."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    sold = read("lineitem").join(read("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    traded = sold.groupBy(F.to_date(F.date_trunc(grain, "l_shipdate")).alias("date"), F.col("p_brand").alias("ticker")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("close"), F.sum("l_quantity").alias("volume"))
+    sold = read("lineitem").where("l_quantity >= 1").join(read("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    traded = sold.groupBy(F.to_date(F.date_trunc(grain, "l_shipdate")).alias("date"), F.col("p_brand").alias("ticker")).agg(_price(F.sum(_cents()), F.sum(_quantity())).alias("close"), F.sum(_quantity()).cast("double").alias("volume"))
     return densify(traded)
 
 
 def brand_panel_sql(grain: str = "month") -> str:
     return f"""SELECT d.date, t.ticker, close, volume FROM (SELECT DISTINCT date_trunc('{grain}', l_shipdate)::DATE AS date FROM lineitem) d CROSS JOIN (SELECT DISTINCT p_brand AS ticker FROM lineitem JOIN part ON l_partkey = p_partkey) t
-LEFT JOIN (SELECT date_trunc('{grain}', l_shipdate)::DATE AS date, p_brand AS ticker, round(sum(l_extendedprice) / sum(l_quantity), 6) AS close, sum(l_quantity) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) x ON x.date = d.date AND x.ticker = t.ticker"""
+LEFT JOIN (SELECT date_trunc('{grain}', l_shipdate)::DATE AS date, p_brand AS ticker, {_sprice(f'sum({_CENTS})', f'sum({_QUANTITY})')} AS close, sum({_QUANTITY})::DOUBLE AS volume FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 1 GROUP BY 1, 2) x ON x.date = d.date AND x.ticker = t.ticker"""
