@@ -4,7 +4,8 @@ A page is read as a sequence of words and tags. Words of running text score posi
 in elements that are never the article (menus, notices, adverts, comments ...) score negative. The weights are log
 odds of lying in the article, counted over labelled pages. One linear scan finds the contiguous region of the
 greatest sum. The region is widened to the element that holds it, up to an <article> or <main> around it, or else
-for as long as what the parent adds scores above zero; then the blocks in it are given, without those elements.
+for as long as what the parent adds scores above zero; then the blocks in it are given, without those elements and,
+where no <article> or <main> bounds it, without blocks of links alone outside the region.
 
 A block is what stands between block-level tags: character references decoded, white space as one space, trimmed;
 <br> counts as white space. Unclosed and stray tags are allowed. Null html: empty text. A page without positive
@@ -128,20 +129,22 @@ def _within(node: Node) -> bool:
     return False
 
 
-def blocks(tokens: Iterable[tuple[str, int, Node, str]]) -> list[str]:
-    """Texts of the blocks outside elements that are never the article."""
-    out, parts = [], []
+def blocks(tokens: Iterable[tuple[str, int, Node, str]], low: int = 0, high: float = math.inf) -> list[str]:
+    """Texts of the blocks outside elements that are never the article; before low and from high on only those with words that are no links."""
+    out, parts, words = [], [], False
 
     def flush() -> None:
-        if parts and (s := " ".join(entities.unescape("".join(parts)).split())):
+        if parts and words and (s := " ".join(entities.unescape("".join(parts)).split())):
             out.append(s)
         parts.clear()
 
-    for kind, _, _, s in tokens:
+    for k, (kind, n, _, s) in enumerate(tokens):
         if kind == "block":
             flush()
+            words = False
         elif s and kind != OUTSIDE:
             parts.append(s)
+            words = words or n > 0 and (kind == WORD or low <= k < high)
     flush()
     return out
 
@@ -217,7 +220,7 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
     low, high, holder = words[0], words[-1] + 1, tokens[words[0]][2]
     while holder.parent and not (holder.low <= low and high <= holder.high):
         holder = holder.parent
-    whole = holder
+    first, last, whole = low, high, holder
     while whole and whole.name not in WHOLE:
         whole = whole.parent
     if whole:
@@ -229,7 +232,8 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
             if added < 0 or holder.name == "body":
                 break
             holder = up
-    return "\n".join(blocks(tokens[holder.low : holder.high]))
+    found = tokens[holder.low : holder.high]
+    return "\n".join(blocks(found) if whole else blocks(found, first - holder.low, last - holder.low))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: dict[str, float] | None = None) -> DataFrame:
