@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from crosstide.shipping import ship
 
-from .common import table
+from .common import table, written
 
 #: Rows learnt from at most, and sizes of the model.
 FIT_DOCS, MAX_WORDS, MAX_GRAMS, LONGEST, VOICES = 40_000, 150_000, 60_000, 4, 20
@@ -136,7 +136,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         rows = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2**32)) < cut)
     counts = rows.select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_counted, "lang string, n int, gram string, count long")
     counts = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-    both = counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("counts"))
+    both = written(counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("counts")), "counts")
     top = lambda of, most: both.where(of).orderBy(F.desc("total"), "n", "gram").limit(most)
     found = [(r.n, r.gram, r.counts) for part in (top("n = 0", MAX_WORDS), top("n > 0", MAX_GRAMS)) for r in part.collect()]
     totals: dict[int, dict[str, int]] = {}
