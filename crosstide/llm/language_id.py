@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -51,18 +52,15 @@ class Model:
 
     CACHE = 100_000
 
-    def __init__(self, rows: list[tuple[int, str, dict[str, int]]], totals: dict[int, dict[str, int]]):
-        self.languages = sorted({x for t in totals.values() for x in t})
-        self.at: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        votes: list[list[list[float]]] = [[] for _ in range(LONGEST + 1)]
-        for n, gram, counts in rows:
-            self.at[n][gram] = len(votes[n])
-            votes[n].append([counts.get(x, 0) for x in self.languages])
-        self.votes = []
+    def __init__(self, languages: list[str], tables: dict[int, tuple[list[str], np.ndarray]]):
+        """tables: by n the grams and their counts, a column for each language."""
+        self.languages = languages
+        self.at: list[dict[str, int]] = []
+        self.votes: list[np.ndarray] = []
         for n in range(LONGEST + 1):
-            v = np.array(votes[n], np.float64).reshape(len(votes[n]), len(self.languages))
-            total = np.array([totals.get(n, {}).get(x, 0) for x in self.languages], np.float64)
-            self.votes.append(np.log((v + 0.5) / (total + 0.5 * max(1, len(v)))))
+            grams_, counts = tables.get(n, ([], np.zeros((0, len(languages)))))
+            self.at.append({g: k for k, g in enumerate(grams_)})
+            self.votes.append(np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(grams_)))))
         self.seen: dict[str, np.ndarray] = {}
 
     def unseen(self, word: str) -> np.ndarray:
@@ -137,19 +135,29 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     counts = rows.select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_counted, "lang string, n int, gram string, count long")
     counts = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     both = written(counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("counts")), "counts")
-    top = lambda of, most: both.where(of).orderBy(F.desc("total"), "n", "gram").limit(most)
-    found = [(r.n, r.gram, r.counts) for part in (top("n = 0", MAX_WORDS), top("n > 0", MAX_GRAMS)) for r in part.collect()]
-    totals: dict[int, dict[str, int]] = {}
-    for k, _, c in found:
-        t = totals.setdefault(k, {})
-        for lang, v in c.items():
-            t[lang] = t.get(lang, 0) + v
-    return Model(found, totals)
+    languages = sorted(r.lang for r in rows.select(F.col(lang_col).alias("lang")).distinct().collect())
+    values = F.array(*[F.coalesce(F.element_at("counts", F.lit(x)), F.lit(0)) for x in languages]).cast("array<double>")
+    tables: dict[int, tuple[list[str], np.ndarray]] = {}
+    for of, most in (("n = 0", MAX_WORDS), ("n > 0", MAX_GRAMS)):
+        found = both.where(of).orderBy(F.desc("total"), "n", "gram").limit(most).select("n", "gram", values.alias("v")).toArrow()
+        flat = found.column("v").combine_chunks().flatten().to_numpy().reshape(found.num_rows, len(languages))
+        kinds, grams_ = found.column("n").to_numpy(), np.array(found.column("gram").to_pylist(), object)
+        for n in np.unique(kinds).tolist():
+            tables[n] = (grams_[kinds == n].tolist(), flat[kinds == n])
+    return Model(languages, tables)
 
 
 _models: dict[str, Model] = {}
 
 
+def _loaded(key: str, sent: Broadcast) -> Model:
+    """A worker's one copy of a model; found by name, so it stays between tasks."""
+    if key not in _models:
+        _models.clear()
+        _models[key] = sent.value
+    return _models[key]
+
+
 def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", keep=None) -> DataFrame:
     """columns of docs with lang_pred and score; keep: (lang, score) -> whether the row stays."""
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
@@ -157,10 +165,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "
     place = columns.index(text_col) if text_col in columns else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = sent.value
-        m = _models[key]
+        m = _loaded(key, sent)
         for b in batches:
             got = [m.predict(t) for k in range(0, b.num_rows, 512) for t in b.column(place).slice(k, 512).to_pylist()]
             out = pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*columns, "lang_pred", "score"])
