@@ -1,8 +1,9 @@
 r"""Personal data by bootstrapped contextual extraction.
 
 Base entities (email, ip, card, phone; the patterns below) are the seeds. Each identifier-like token, a seed or not,
-is an instance; the two words before it are its lexical pattern. Patterns and instances form a graph: an edge for
-each pair that occurs, counted once. Spark scores it by turns. A pattern's confidence for a kind: the scores of its
+is an instance; the two words before it are its lexical pattern. An occurrence without two words in the REACH
+characters before it has no pattern, and no edge, but is marked like any other. Patterns and instances form a graph:
+an edge for each pair that occurs, counted once. Spark scores it by turns. A pattern's confidence for a kind: the scores of its
 instances of that kind, over all its instances and all its occurrences before ordinary words; it needs SUPPORT known
 instances. An instance's score: 1 - product of (1 - confidence) over its patterns. After ROUNDS turns, instances of
 ACCEPT or more are personal data wherever they occur. Base spans always stay; added ones never overlap them.
@@ -91,11 +92,10 @@ def context(text: str, start: int) -> str | None:
 
 
 def instances(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, int, int | None, str, str]]:
-    """start, end, kind (none: not a seed), instance, pattern of each identifier with a pattern."""
+    """start, end, kind (none: not a seed), instance, pattern (none: no context) of each identifier."""
     out, taken = [], sorted((s, e, k) for k, found in enumerate(spans) for s, e in found)
     for s, e, k in taken:
-        if p := context(text, s):
-            out.append((s, e, k, text[s:e].lower(), p))
+        out.append((s, e, k, text[s:e].lower(), context(text, s)))
     done, nearest = 0, 0
     for m in _DIGITS.finditer(text):
         if m.start() < done:
@@ -114,8 +114,7 @@ def instances(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int,
             nearest += 1
         if not SHORTEST <= e - s <= LONGEST or sum(c.isdigit() for c in text[s:e]) < 3 or any(x[0] < e and x[1] > s for x in taken[nearest : nearest + 8]):
             continue
-        if p := context(text, s):
-            out.append((s, e, None, text[s:e].lower(), p))
+        out.append((s, e, None, text[s:e].lower(), context(text, s)))
     return out
 
 
@@ -170,7 +169,7 @@ def _ordinary(texts: DataFrame, promising: DataFrame) -> DataFrame | None:
 
 def accepted(scanned: DataFrame, texts: DataFrame, support: int = SUPPORT, accept: float = ACCEPT, rounds: int = ROUNDS) -> DataFrame | None:
     """(instance, kind, score) of unseen identifiers; none if no pattern has the support."""
-    seen = scanned.select(F.explode("found").alias("f")).select("f.pattern", "f.instance", "f.kind").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
+    seen = scanned.select(F.explode("found").alias("f")).select("f.pattern", "f.instance", "f.kind").where("pattern is not null").groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
     edges = written(seen, "edges")
     promising = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("known")).where(F.col("known") >= support)
     followed = _ordinary(texts, promising)

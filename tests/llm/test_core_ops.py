@@ -184,6 +184,16 @@ def test_pii_bootstrapping(spark):
     assert pii.redact(corpus(spark, docs)).columns == corpus(spark, docs).columns and pii.find(corpus(spark, docs).limit(0), ["doc_id"]).count() == 0
 
 
+def test_pii_without_context(spark):
+    """An accepted identifier is marked where no two words come before it, too."""
+    docs = [(k, f"please write to user{k}@mail.com today") for k in range(20)]
+    docs += [(30, "please write to jane88776 today"), (31, "jane88776 wrote"), (32, "hi JANE88776"), (33, "a " + "x" * 90 + " jane88776"), (34, "bob12345 wrote"), (35, "a@mail.com wrote")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(corpus(spark, docs), ["doc_id"]).collect()}
+    assert [got[k] for k in range(30, 36)] == [[(0, 16, 25)], [(0, 0, 9)], [(0, 3, 12)], [(0, 93, 102)], [], [(0, 0, 10)]]
+    clean = {r.doc_id: r.text for r in pii.redact(corpus(spark, docs)).collect()}
+    assert clean[31] == "[EMAIL] wrote" and clean[32] == "hi [EMAIL]"
+
+
 def test_packing(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
