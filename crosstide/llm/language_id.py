@@ -1,12 +1,13 @@
 """Language ID: known words by their log frequency in each language, unseen ones by ever shorter character n-grams.
 
-The model: for up to MAX_WORDS words and MAX_GRAMS n-grams of 1 to 4 characters (words bounded by `_`) the smoothed
+The model: for all words learnt from and all their n-grams of 1 to 4 characters (words bounded by `_`) the smoothed
 log frequency in each language. A word's vote is its row; an unseen word's is the mean of its known n-grams of the
 greatest length at which any is known. A text's votes are averaged, the averages times at most VOICES words are made
 probabilities, and the score is that of the best language.
 
-Learning takes whole texts of rows with a non-null language, at most FIT_DOCS of them: the share that fits is dealt
-by a hash of the id. Only the text is looked at in a prediction.
+Learning takes whole texts of rows with a non-null language, at most FIT_DOCS of them (about). Languages have equal
+shares of these, and what one doesn't need goes to the others: a small language is learnt from all its rows. Within a
+language the share is dealt by a hash of the id. Only the text is looked at in a prediction.
 
 `und`, score 0: null text, no letter, or nothing learnt. A text whose letters were never seen gets the first language
 (by name) at 1 / languages. Repeated rows each get a row; null ids are never held out. Other columns are left out.
@@ -30,8 +31,8 @@ from crosstide.shipping import ship
 
 from .common import table, written
 
-#: Rows learnt from at most, and sizes of the model.
-FIT_DOCS, MAX_WORDS, MAX_GRAMS, LONGEST, VOICES = 40_000, 150_000, 60_000, 4, 20
+#: Rows learnt from at most, characters of the longest n-gram, words that count in a score.
+FIT_DOCS, LONGEST, VOICES = 40_000, 4, 20
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -124,26 +125,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+def shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Rows of each language, `most` in all: equal shares, and what a language doesn't need to the others."""
+    out = {}
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, most // (len(sizes) - k))
+        most -= out[lang]
+    return out
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Model:
     """A model of at most fit_docs rows of labelled (about; dealt by a hash of the id)."""
     ship(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull())
-    n = rows.select(F.count(F.lit(1))).first()[0]
-    if n > fit_docs:
-        cut = int((2**32) * (fit_docs / n))
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2**32)) < cut)
+    sizes = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(sizes.values()) > fit_docs:
+        cuts = F.create_map(*[F.lit(x) for lang, n in shares(sizes, fit_docs).items() for x in (lang, int((2**32) * (n / sizes[lang])))])
+        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2**32)) < F.element_at(cuts, F.col(lang_col)))
     counts = rows.select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_counted, "lang string, n int, gram string, count long")
     counts = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-    both = written(counts.groupBy("n", "gram").agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("counts")), "counts")
-    languages = sorted(r.lang for r in rows.select(F.col(lang_col).alias("lang")).distinct().collect())
+    both = written(counts.groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("counts")), "counts")
+    languages = sorted(sizes)
     values = F.array(*[F.coalesce(F.element_at("counts", F.lit(x)), F.lit(0)) for x in languages]).cast("array<double>")
-    tables: dict[int, tuple[list[str], np.ndarray]] = {}
-    for of, most in (("n = 0", MAX_WORDS), ("n > 0", MAX_GRAMS)):
-        found = both.where(of).orderBy(F.desc("total"), "n", "gram").limit(most).select("n", "gram", values.alias("v")).toArrow()
-        flat = found.column("v").combine_chunks().flatten().to_numpy().reshape(found.num_rows, len(languages))
-        kinds, grams_ = found.column("n").to_numpy(), np.array(found.column("gram").to_pylist(), object)
-        for n in np.unique(kinds).tolist():
-            tables[n] = (grams_[kinds == n].tolist(), flat[kinds == n])
+    found = both.select("n", "gram", values.alias("v")).toArrow()
+    flat = found.column("v").combine_chunks().flatten().to_numpy().reshape(found.num_rows, len(languages))
+    kinds, grams_ = found.column("n").to_numpy(), found.column("gram").combine_chunks()
+    tables = {n: (grams_.filter(pa.array(kinds == n)).to_pylist(), flat[kinds == n]) for n in np.unique(kinds).tolist()}
     return Model(languages, tables)
 
 

@@ -80,6 +80,23 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(rows, language_id.fit(docs.limit(0)), ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_id_small_languages(spark):
+    """A small language keeps all its words and rows beside a hot one."""
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    hot = [(k, " ".join(2 * [word(x) for x in range(40_000 * k, 40_000 * k + 40_000)]), "aa") for k in range(5)]
+    small = [(1000 + k, f"éé{word(k)}", "bb") for k in range(5)]
+    schema = "doc_id long, text string, lang string"
+    model = language_id.fit(spark.createDataFrame([*hot, *small], schema))
+    assert len(model.at[0]) == 200_005 and model.languages == ["aa", "bb"]
+    rare = {g for r in small for n in range(1, 5) for g in language_id.grams(r[1], n)}
+    assert rare <= set().union(*model.at[1:])
+    many = [(k, f"x{word(k)}", "aa") for k in range(400)]
+    model = language_id.fit(spark.createDataFrame([*many, *small], schema), fit_docs=40)
+    known = set(model.at[0])
+    assert {r[1] for r in small} <= known and 15 < len(known) < 65
+    assert language_id.shares({"a": 100, "b": 3, "c": 30}, 43) == {"b": 3, "c": 20, "a": 20}
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
