@@ -1,12 +1,14 @@
 r"""Personal data by bootstrapped contextual extraction.
 
-Base entities (email, ip, card, phone; the patterns below) are the seeds. Each identifier-like token, a seed or not,
-is an instance; the two words before it are its lexical pattern. An occurrence without two words in the REACH
-characters before it has no pattern, and no edge, but is marked like any other. Patterns and instances form a graph:
-an edge for each pair that occurs, counted once. Spark scores it by turns. A pattern's confidence for a kind: the scores of its
-instances of that kind, over all its instances and all its occurrences before ordinary words; it needs SUPPORT known
-instances. An instance's score: 1 - product of (1 - confidence) over its patterns. After ROUNDS turns, instances of
-ACCEPT or more are personal data wherever they occur. Base spans always stay; added ones never overlap them.
+Base entities (email, ip, card, phone; the patterns below) are the seeds. Each identifier-like token, a seed or not, is
+an instance: SHORTEST to LONGEST ASCII letters, digits and ._@/+- with 3 digits or more (names without digits are none);
+the two words before it are its lexical pattern. An occurrence without two words in the REACH characters before it has
+no pattern, and no edge, but is marked like any other. Patterns and instances form a graph: an edge for each pair that
+occurs, counted once. Spark scores it by turns. A pattern's confidence for a kind: the scores of its instances of that
+kind, over all its instances and all its occurrences before ordinary words; it needs SUPPORT known instances. An
+instance's score: 1 - product of (1 - confidence) over its supported patterns, weak ones too. After ROUNDS turns,
+instances of ACCEPT or more are personal data wherever they occur. Base spans always stay; added ones never overlap
+them.
 
 The patterns that go to the tasks for counting ordinary words do so in blocks of PATTERNS. Edges are distinct before
 they are joined, so a context that a third of the corpus shares is one row.
@@ -183,7 +185,7 @@ def accepted(scanned: DataFrame, texts: DataFrame, support: int = SUPPORT, accep
     for _ in range(rounds):
         now = known if new is None else known.unionByName(new)
         scored = edges.select("pattern", "instance").join(now, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("known"))
-        trusted = scored.where(F.col("known") >= support).join(sizes, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("all") + 0.5)).alias("confidence")).where(F.col("confidence") >= accept)
+        trusted = scored.where(F.col("known") >= support).join(sizes, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("all") + 0.5)).alias("confidence"))
         best = unseen.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
         best = best.groupBy("instance").agg(F.max_by(F.struct("kind", "score"), F.struct("score", -F.col("kind"))).alias("b")).select("instance", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
         new = written(best.where(F.col("score") >= accept), "instances")

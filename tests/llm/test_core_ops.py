@@ -194,6 +194,14 @@ def test_pii_without_context(spark):
     assert clean[31] == "[EMAIL] wrote" and clean[32] == "hi [EMAIL]"
 
 
+def test_pii_weak_patterns(spark):
+    """Two patterns of 0.63 make 0.86; one of them is not enough."""
+    docs = [(10 * a + k, f"{p} user{a}{k}@mail.com today") for a, p in enumerate(("please write", "contact him")) for k in range(6)]
+    docs += [(30, "please write soon"), (31, "contact him soon"), (32, "contact him later"), (40, "please write jane88776"), (41, "contact him jane88776"), (42, "please write bob12345")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(corpus(spark, docs), ["doc_id"]).collect()}
+    assert got[40] == [(0, 13, 22)] and got[41] == [(0, 12, 21)] and got[42] == []
+
+
 def test_packing(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
