@@ -16,7 +16,9 @@ Likely: signatures agree in 16 values fewer than the threshold's share of 64, or
 with probability 3e-7 at 0.85 and 7e-7 at 0.8. Under 0.85 regions share one value less, to miss as little.
 
 Null or empty text, or no words: an empty set, linked with nothing. Null ids: linked with nothing, component null,
-kept. Repeated ids share a component. Other columns are left out of `components`; `drop_near` keeps all columns.
+kept. Repeated ids are one document and share a component, also where their texts differ: each distinct set keeps its
+own signature and items and links for itself (an empty text's row apart, which links with nothing). Other columns are
+left out of `components`; `drop_near` keeps all columns.
 """
 
 from __future__ import annotations
@@ -54,6 +56,10 @@ def signature(items: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_key(items: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(items.tobytes())
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """100 * intersection >= percent * union, on sorted distinct hashes."""
     n, m = len(a), len(b)
@@ -79,7 +85,7 @@ def _sign(width: int):
                 for text in part.column(1).to_pylist():
                     s = shingles(text, width)
                     n.append(len(s))
-                    key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    key.append(set_key(s) if len(s) else None)
                     sig.append(signature(s).astype(">u4").tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
 
@@ -87,11 +93,15 @@ def _sign(width: int):
 
 
 def _sets(width: int):
+    """Rows (doc_id, key, sig, text) -> the sets of those whose text has that key: an id may have several texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingles(t, width).tobytes() for t in part.column(2).to_pylist()], pa.binary())], names=["doc_id", "sig", "items"])
+                items = [shingles(t, width) for t in part.column(3).to_pylist()]
+                own = pa.array([set_key(s) == key for s, key in zip(items, part.column(1).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s.tobytes() for s in items], pa.binary())], names=["doc_id", "sig", "items"]).filter(own)
 
     return run
 
@@ -145,7 +155,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _settle(percent: int):
-    """A cell's documents -> (doc_id, hub): the least document of its component here."""
+    """A cell's documents -> (doc_id, hub): the least document of its component here. Sets of one id are one document."""
     likely = shared(percent)[1]
 
     def run(rows: pa.Table) -> pa.Table:
@@ -153,7 +163,7 @@ def _settle(percent: int):
         ids = rows.column("doc_id").to_numpy()[order]
         sigs = np.stack([np.frombuffer(rows.column("sig")[int(k)].as_py(), ">u4").astype(np.uint32) for k in order])
         items = [np.frombuffer(rows.column("items")[int(k)].as_py(), np.uint64) for k in order]
-        parent = list(range(len(ids)))
+        parent = np.searchsorted(ids, ids).tolist()
 
         def top(k: int) -> int:
             while parent[k] != k:
@@ -166,7 +176,8 @@ def _settle(percent: int):
                 a, b = top(k), top(j)
                 if a != b and linked(items[k], items[j], percent):
                     parent[max(a, b)] = min(a, b)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "hub": pa.array([int(ids[top(k)]) for k in range(len(ids))], pa.int64())})
+        once = np.unique(ids, return_index=True)[1].tolist()
+        return pa.table({"doc_id": pa.array([int(ids[k]) for k in once], pa.int64()), "hub": pa.array([int(ids[top(k)]) for k in once], pa.int64())})
 
     return run
 
@@ -230,6 +241,13 @@ def _leftover(large: DataFrame, label: DataFrame, sets: DataFrame, percent: int,
     return both.groupBy("thicket", "block", "share").applyInArrow(_cross(percent), "a long, b long")
 
 
+def _repeated(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of an id that has texts with several sets."""
+    several = signed.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.collect_set("key").alias("keys")).where(F.size("keys") > 1)
+    least = several.select(F.col("doc_id").alias("own"), F.explode("keys").alias("key")).join(classes.select("key", "doc_id"), "key")
+    return least.select(F.col("own").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+
+
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -249,15 +267,16 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     thickets = written(components(edges).withColumnRenamed("component", "thicket"), "thickets")
 
     inside = thickets.withColumnRenamed("node", "doc_id")
-    wanted = docs.join(classes.select("doc_id", "sig").join(inside, "doc_id").select("doc_id", "sig"), "doc_id").dropDuplicates(["doc_id"])
-    sets = written(wanted.select("doc_id", "sig", "text").mapInArrow(_sets(width), "doc_id long, sig binary, items binary"), "sets")
-    members, links, large = _cells(inside, cell), None, None
+    wanted = docs.join(classes.select("doc_id", "key", "sig").join(inside, "doc_id").select("doc_id", "key", "sig"), "doc_id")
+    wanted = wanted.withColumns({"hash": F.xxhash64("text"), "size": F.length("text")}).dropDuplicates(["doc_id", "key", "hash", "size"])
+    sets = written(wanted.select("doc_id", "key", "sig", "text").mapInArrow(_sets(width), "doc_id long, sig binary, items binary"), "sets")
+    members, links, large = _cells(inside, cell), _repeated(signed, classes), None
     while True:
         members = written(members, "members")
         found = members.join(sets, "doc_id").groupBy("thicket", "block").applyInArrow(_settle(percent), "doc_id long, hub long")
         found = written(found, "settled")
         some = found.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-        links = some if links is None else links.unionByName(some)
+        links = links.unionByName(some)
         several = members.where("cells > 1")
         n = several.count()
         if not n:

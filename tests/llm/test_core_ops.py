@@ -105,6 +105,18 @@ def test_near_dups(spark, cell):
     assert near_dups.near_components(corpus(spark, docs).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell", [256, 2])
+def test_near_dups_of_repeated_ids(spark, cell):
+    """Each text of a repeated id links for itself, and the id is one document."""
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcdef"]
+    a, b, c, d, e, f = texts
+    near = lambda t: t + " more"
+    docs = [(1, a), (1, b), (2, near(a)), (3, near(b)), (10, c), (11, c), (11, d), (12, near(d)), (20, e), (21, near(e)), (22, f)]
+    want = {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 12: 10, 20: 20, 21: 20, 22: 22}
+    got = near_dups.near_components(corpus(spark, docs), cell=cell).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((k, want[k]) for k, _ in docs)
+
+
 def brute_benchmark(docs, items):
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     out = []
