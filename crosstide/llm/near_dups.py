@@ -1,16 +1,17 @@
-"""MinHash near-dedup with an LSH forest.
+"""MinHash near-dedup by fixed-depth bands of sorted signature orders.
 
 A document's set holds the distinct runs of `width` words; links are confirmed on whole sets. Documents with equal
-sets form a class, of which the least id goes on. The forest: TREES sorted orders of the signatures, each beginning
-at another value. In an order, documents that share its first 4 values form a region; within it the order goes on to
-DEPTH values, so a crowded region is told apart as deep as it needs. Neighbours by longest common prefix are joined
-within their region; what hangs together over all trees is a thicket, and no link leaves one: a pair at the threshold
-misses a region in all 16 trees with probability 7e-6.
+sets form a class, of which the least id goes on. Candidates come from banding of
+fixed depth over TREES sorted orders of the signatures, each beginning at another value: in an order, documents that
+share its first 4 values form a region. It is not an LSH forest: no prefix length is compared and no region goes deeper
+where it is crowded, since a pair parted by a longer prefix would be lost; the other values of DEPTH only order a
+region's rows. Each document is joined to its region's first one; what hangs together over all trees is a thicket, and
+no link leaves one: a pair at the threshold misses a region in all 16 trees with probability 7e-6.
 
 Thickets are settled in cells of CELL documents at most (about). A cell compares signatures, then the whole sets of
-the likely pairs that aren't yet connected. Larger thickets are cut in several cells, each of which sends on one hub
-per component; hubs are settled likewise until one cell holds them. What is left then in several components is
-searched region by region: documents outside a region's largest component against the region, so nothing is lost.
+the likely pairs that aren't yet connected. Larger thickets are cut in several cells, each of which sends on SAMPLE
+documents per component of two or more; samples are settled likewise, until one cell holds them or they get no fewer.
+Then every document outside its thicket's largest component is held against all the thicket's cells but its own.
 
 Likely: signatures agree in 16 values fewer than the threshold's share of 64, or in more; a linked pair has fewer
 with probability 3e-7 at 0.85 and 7e-7 at 0.8. Under 0.85 regions share one value less, to miss as little.
