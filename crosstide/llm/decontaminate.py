@@ -1,8 +1,9 @@
 r"""Benchmark decontamination by suffix arrays of the training texts.
 
-Documents are taken in shards; each shard gets a suffix array over its words, and every suffix of every benchmark
-item is binary-searched in it. That gives the longest verbatim match of each suffix and the places of each window
-(8 words; a shorter item is one window). The array holds the suffixes that can matter: those within a run of
+Documents are taken in shards; each shard gets a suffix array over its words, and every suffix of a benchmark item
+that starts a window (8 words; a shorter item is one window) is binary-searched in it, for the window's length. That
+gives the places of each window; from there the match is followed on for `longest`, which is 0 where no window hits.
+An item's last 7 suffixes start no window and aren't searched. The array holds the suffixes that can matter: those within a run of
 benchmark words at least as long as the shortest window; other words can't be part of a match. It is sorted by
 prefix doubling: ranks of pairs at growing offsets, until all are unique or longer than any item.
 
@@ -113,7 +114,7 @@ def bound(words: np.ndarray, array: np.ndarray, flat: np.ndarray, q: np.ndarray,
 
 
 def search(texts: list[str | None], bench: Benchmark) -> list[tuple[int, np.ndarray, list[int], int]]:
-    """For each text of a shard: words, which of them are hit, the items found, the longest match in words."""
+    """For each text of a shard: words, which of them are hit, the items found, the longest match in words (0: no window)."""
     get = bench.vocabulary.get
     numbers, counts = [], []
     for text in texts:
