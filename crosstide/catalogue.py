@@ -272,13 +272,13 @@ RISK_FACTORS = [FactorDefinition("momentum", "rank(returns(13))"), FactorDefinit
 
 
 def _risk(spark: SparkSession, d: str) -> DataFrame:
-    model = FactorRiskModel(RISK_FACTORS).fit(supplier_panel(spark, d), lookback=60, min_observations=10)
+    model = FactorRiskModel(RISK_FACTORS).fit(supplier_panel(spark, d), lookback=None, min_observations=10)
     out = model.factor_returns
     return out.select("date", *[F.round(c, 6).alias(c) for c in out.columns if c != "date"])
 
 
 def _specific(spark: SparkSession, d: str) -> DataFrame:
-    model = FactorRiskModel(RISK_FACTORS, include_industries=False).fit(supplier_panel(spark, d), lookback=60, min_observations=10)
+    model = FactorRiskModel(RISK_FACTORS, include_industries=False).fit(supplier_panel(spark, d), lookback=None, min_observations=10)
     return model.specific_risk.select("ticker", rounded("value", 4))
 
 

@@ -85,9 +85,11 @@ class FactorRiskModel:
             out, names = out.withColumns(dummies).drop(self.industry_column), [*names, *dummies]
         return out, names
 
-    def fit(self, data, lookback: int = 252, min_observations: int = 10) -> FactorRiskModel:
+    def fit(self, data, lookback: int | None = 252, min_observations: int = 10) -> FactorRiskModel:
+        """lookback: the last dates to fit; None: all."""
         x, names = self.exposures(data)
-        last = x.select("date").distinct().orderBy(F.desc("date")).limit(lookback).agg(F.min("date"), F.max("date")).first()
+        dates = x.select("date").distinct().orderBy(F.desc("date"))
+        last = (dates if lookback is None else dates.limit(lookback)).agg(F.min("date"), F.max("date")).first()
         x = x.where(F.col("date").between(*map(F.lit, last))).persist()
         ship(x.sparkSession)
         k = len(names)
@@ -96,7 +98,7 @@ class FactorRiskModel:
             rows = pdf[["return", *names]].to_numpy(float)
             rows = rows[np.isfinite(rows).all(axis=1)]
             if len(rows) < min_observations:
-                return pd.DataFrame({"date": [], "fit": [], "coefficients": []})
+                return pd.DataFrame({"date": [], "fit": [], "coefficients": []}, dtype=object)
             y, design = rows[:, 0], np.column_stack([np.ones(len(rows)), rows[:, 1:]])
             b = np.linalg.pinv(design) @ y
             spread = ((y - y.mean()) ** 2).sum()

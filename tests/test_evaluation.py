@@ -140,6 +140,15 @@ def test_risk_model(spark, market, prices):
         FactorRiskModel().portfolio_risk(held)
 
 
+def test_risk_queries_fit_the_whole_calendar(spark):
+    """A regression for each week but those before the first 13 weeks' return."""
+    from crosstide import catalogue
+
+    weeks = [r[0] for r in catalogue.supplier_panel(spark, "/root/testdata/sf0.01").select("date").distinct().orderBy("date").collect()]
+    got = [r[0] for r in catalogue.queries()["risk_factor_returns"](spark, "/root/testdata/sf0.01").select("date").orderBy("date").collect()]
+    assert got == weeks[13:] and len(got) > 252
+
+
 def test_files_round_trip(spark, market, tmp_path):
     close = market.selectExpr("date", "ticker", "case when not isnan(close) then close end as value")
     write_fields({"close": close}, str(tmp_path / "f"), {"close": "prices", "other": "no"})
