@@ -100,9 +100,14 @@ def _sets(width: int):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                items = [shingles(t, width) for t in part.column(3).to_pylist()]
-                own = pa.array([set_key(s) == key for s, key in zip(items, part.column(1).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s.tobytes() for s in items], pa.binary())], names=["doc_id", "sig", "items"]).filter(own)
+                keep, items = [], []
+                for k, (text, key) in enumerate(zip(part.column(3).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                    s = shingles(text, width)
+                    if set_key(s) == key:
+                        keep.append(k)
+                        items.append(s.tobytes())
+                own = part.select(["doc_id", "sig"]).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(items, pa.binary())], names=["doc_id", "sig", "items"])
 
     return run
 
