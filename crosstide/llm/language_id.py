@@ -1,16 +1,22 @@
 """Language ID: known words by their log frequency in each language, unseen ones by ever shorter character n-grams.
 
 The model: for all words learnt from and all their n-grams of 1 to 4 characters (words bounded by `_`) the smoothed
-log frequency in each language. A word's vote is its row; an unseen word's is the mean of its known n-grams of the
-greatest length at which any is known. A text's votes are averaged, the averages times at most VOICES words are made
-probabilities, and the score is that of the best language.
+log frequency in each language, under 64-bit hashes of the word or n-gram. A word's vote is its row; an unseen word's is
+the mean of its known n-grams of the greatest length at which any is known. A text's votes are averaged, the averages
+times at most VOICES words are made probabilities, and the score is that of the best language; of languages that are
+equally good, the first by name.
 
 Learning takes whole texts of rows with a non-null language, at most FIT_DOCS of them (about). Languages have equal
 shares of these, and what one doesn't need goes to the others: a small language is learnt from all its rows. Within a
-language the share is dealt by a hash of the id. Only the text is looked at in a prediction.
+language the share is dealt by a hash of the id. No word or n-gram of these rows is left out. Only the text is looked
+at in a prediction. The model is two arrays, some 20 bytes and 4 a language for each word or n-gram; it goes to every
+worker, and its size is bounded by FIT_DOCS texts. A long text is split into its words at once, so a task holds a few
+times the longest text.
 
 `und`, score 0: null text, no letter, or nothing learnt. A text whose letters were never seen gets the first language
-(by name) at 1 / languages. Repeated rows each get a row; null ids are never held out. Other columns are left out.
+(by name) at 1 / languages. Repeated rows each get a row; null ids are never held out. An empty table gives an empty
+one. Columns that `predict` is asked to keep and that are named lang_pred or score are replaced by the prediction;
+`keep_known` changes no column.
 """
 
 from __future__ import annotations
@@ -22,17 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from crosstide.shipping import ship
 
-from .common import table, written
+from .common import spread, table, tidy
 
 #: Rows learnt from at most, characters of the longest n-gram, words that count in a score.
 FIT_DOCS, LONGEST, VOICES = 40_000, 4, 20
+#: A language is told if its score is so many times that of chance, one over the number of languages.
+SURE = 1.2
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -48,50 +56,82 @@ def grams(word: str, n: int) -> list[str]:
     return [w[k : k + n] for k in range(len(w) - n + 1)]
 
 
+def name_of(gram: str, n: int) -> int:
+    """64 bits for a word (n = 0) or an n-gram."""
+    return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass"), n)
+
+
 class Model:
-    """languages; tables[n]: gram -> row of its matrix, n = 0 for words."""
+    """languages; names, sorted, of words and n-grams; votes, a row for each name."""
 
+    #: Words whose votes a worker remembers.
     CACHE = 100_000
 
-    def __init__(self, languages: list[str], tables: dict[int, tuple[list[str], np.ndarray]]):
-        """tables: by n the grams and their counts, a column for each language."""
+    def __init__(self, languages: list[str], kinds: np.ndarray, names: np.ndarray, counts: np.ndarray):
+        """kinds: n of each name; counts: a row for each name, a column for each language."""
         self.languages = languages
-        self.at: list[dict[str, int]] = []
-        self.votes: list[np.ndarray] = []
+        order = np.argsort(names, kind="stable")
+        self.names, kinds, counts = names[order], kinds[order], counts[order].astype(np.float64)
+        self.votes = np.zeros((len(names), len(languages)), np.float32)
         for n in range(LONGEST + 1):
-            grams_, counts = tables.get(n, ([], np.zeros((0, len(languages)))))
-            self.at.append({g: k for k, g in enumerate(grams_)})
-            self.votes.append(np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, len(grams_)))))
-        self.seen: dict[str, np.ndarray] = {}
-
-    def unseen(self, word: str) -> np.ndarray:
-        """A long word is taken whole; its grams are each counted."""
-        got = self.seen.get(word)
-        if got is None:
-            got = np.zeros(len(self.languages))
-            for n in range(LONGEST, 0, -1):
-                if rows := [r for g in grams(word, n) if (r := self.at[n].get(g)) is not None]:
-                    got = self.votes[n][rows].mean(axis=0)
-                    break
-            if len(self.seen) < self.CACHE and len(word) < 64:
-                self.seen[word] = got
-        return got
+            at = kinds == n
+            self.votes[at] = np.log((counts[at] + 0.5) / (counts[at].sum(axis=0) + 0.5 * max(1, int(at.sum()))))
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("languages", "names", "votes")}
+
+    def known(self, names: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """For each name whether it is known, and its row."""
+        wanted = np.array(names, np.uint64)
+        at = np.minimum(np.searchsorted(self.names, wanted), max(0, len(self.names) - 1))
+        return (self.names[at] == wanted if len(self.names) else np.zeros(len(wanted), bool)), at
+
+    def votes_of(self, words: list[str]) -> np.ndarray:
+        """A row of votes for each word."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        there, at = self.known([name_of(w, 0) for w in words])
+        out[there] = self.votes[at[there]]
+        left = np.flatnonzero(~there).tolist()
+        for n in range(LONGEST, 0, -1):
+            said = [grams(words[k], n) for k in left]
+            sizes = np.array([len(g) for g in said], np.int64)
+            there, at = self.known([name_of(g, n) for gs in said for g in gs])
+            owner = np.repeat(np.arange(len(left)), sizes)[there]
+            hits = np.bincount(owner, minlength=len(left))
+            sums = np.zeros((len(left), len(self.languages)))
+            np.add.at(sums, owner, self.votes[at[there]])
+            for j in np.flatnonzero(hits).tolist():
+                out[left[j]] = sums[j] / hits[j]
+            left = [k for j, k in enumerate(left) if not hits[j]]
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Each text's language and score."""
+        if "seen" not in self.__dict__:
+            self.seen: dict[str, int] = {}
+            self.rows = np.zeros((0, len(self.languages)), np.float32)
+        counts = [Counter(words_of(t)) if t and self.languages else None for t in texts]
+        if len(self.seen) > self.CACHE:
+            self.seen, self.rows = {}, self.rows[:0]
+        if new := list({w for c in counts if c for w in c if w not in self.seen}):
+            self.seen |= {w: k for k, w in enumerate(new, len(self.rows))}
+            self.rows = np.concatenate((self.rows, self.votes_of(new)))
+        out = []
+        for c in counts:
+            if not c:
+                out.append((UNKNOWN, 0.0))
+                continue
+            at, often = np.fromiter(map(self.seen.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.float64, len(c))
+            n = often.sum()
+            mean = (often @ self.rows[at]) / n * min(n, VOICES)
+            p = np.exp(mean - mean.max())
+            p /= p.sum()
+            best = int(p.argmax())
+            out.append((self.languages[best], float(p[best])))
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        get = self.at[0].get
-        rows = [get(w, -1) for w in words]
-        known = np.array(rows)
-        total = self.votes[0][known[known >= 0]].sum(axis=0)
-        for k in np.flatnonzero(known < 0).tolist():
-            total = total + self.unseen(words[k])
-        mean = total / len(words) * min(len(words), VOICES)
-        p = np.exp(mean - mean.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        return self.languages[best], float(p[best])
+        return self.predict_all([text])[0]
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -99,7 +139,7 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, n, gram, count of a task's rows, n = 0 for words."""
+    """lang, n, name, count of a task's rows, n = 0 for words."""
     words: dict[str, Counter] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -110,19 +150,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for g in grams(w, n):
                         found[n][g] += c
             for n, f in enumerate(found):
-                keys = list(f)
-                for k in range(0, len(keys), 20_000):
-                    part = keys[k : k + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([n] * len(part), pa.int32()), pa.array(part), pa.array([f[g] for g in part], pa.int64())], names=["lang", "n", "gram", "count"])
+                names = np.array([name_of(g, n) for g in f], np.uint64).view(np.int64)
+                many = np.fromiter(f.values(), np.int64, len(f))
+                for k in range(0, len(names), 50_000):
+                    part = names[k : k + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([n] * len(part), pa.int32()), pa.array(part), pa.array(many[k : k + 50_000])], names=["lang", "n", "name", "count"])
         words.clear()
 
     for b in batches:
         for k in range(0, b.num_rows, 512):
             for lang, text in zip(b.column(0).slice(k, 512).to_pylist(), b.column(1).slice(k, 512).to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, words.values())) > 400_000:
+            if sum(map(len, words.values())) > 300_000:
                 yield from out()
     yield from out()
+    tidy()
 
 
 def shares(sizes: dict[str, int], most: int) -> dict[str, int]:
@@ -137,56 +179,70 @@ def shares(sizes: dict[str, int], most: int) -> dict[str, int]:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Model:
     """A model of at most fit_docs rows of labelled (about; dealt by a hash of the id)."""
     ship(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_col).isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if sum(sizes.values()) > fit_docs:
         cuts = F.create_map(*[F.lit(x) for lang, n in shares(sizes, fit_docs).items() for x in (lang, int((2**32) * (n / sizes[lang])))])
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2**32)) < F.element_at(cuts, F.col(lang_col)))
-    counts = rows.select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_counted, "lang string, n int, gram string, count long")
-    counts = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-    both = written(counts.groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("counts")), "counts")
+        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(2**32)) < F.element_at(cuts, F.col("lang")))
+    counts = spread(rows.select("lang", "text")).mapInArrow(_counted, "lang string, n int, name long, count long")
+    found = counts.groupBy("lang", "n", "name").agg(F.sum("count").alias("count")).toArrow()
     languages = sorted(sizes)
-    values = F.array(*[F.coalesce(F.element_at("counts", F.lit(x)), F.lit(0)) for x in languages]).cast("array<double>")
-    found = both.select("n", "gram", values.alias("v")).toArrow()
-    flat = found.column("v").combine_chunks().flatten().to_numpy().reshape(found.num_rows, len(languages))
-    kinds, grams_ = found.column("n").to_numpy(), found.column("gram").combine_chunks()
-    tables = {n: (grams_.filter(pa.array(kinds == n)).to_pylist(), flat[kinds == n]) for n in np.unique(kinds).tolist()}
-    return Model(languages, tables)
+    raw = found.column("name").to_numpy().view(np.uint64)
+    names, first, at = np.unique(raw, return_index=True, return_inverse=True)
+    matrix = np.zeros((len(names), len(languages)), np.float32)
+    column = {lang: k for k, lang in enumerate(languages)}
+    said = found.column("lang").combine_chunks().dictionary_encode()
+    if len(names):
+        of = np.array([column[x] for x in said.dictionary.to_pylist()], np.int64)[said.indices.to_numpy()]
+        matrix[at, of] = found.column("count").to_numpy()
+    return Model(languages, found.column("n").to_numpy()[first] if len(names) else np.zeros(0, np.int32), names, matrix)
 
 
 _models: dict[str, Model] = {}
 
 
-def _loaded(key: str, sent: Broadcast) -> Model:
-    """A worker's one copy of a model; found by name, so it stays between tasks."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = sent.value
-    return _models[key]
-
-
-def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", keep=None) -> DataFrame:
-    """columns of docs with lang_pred and score; keep: (lang, score) -> whether the row stays."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    n = len(columns)
-    place = columns.index(text_col) if text_col in columns else n
+def _judged(docs: DataFrame, model: Model, columns: list[str], text_col: str, schema: StructType, out) -> DataFrame:
+    """columns and the text through out(batch, its first columns, predictions)."""
+    sent, key, n = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex, len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _loaded(key, sent)
+        if key not in _models:  # a worker's one copy, found by name, so that it stays between tasks
+            _models.clear()
+            _models[key] = sent.value
         for b in batches:
-            got = [m.predict(t) for k in range(0, b.num_rows, 512) for t in b.column(place).slice(k, 512).to_pylist()]
-            out = pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*columns, "lang_pred", "score"])
-            yield out if keep is None else out.filter(pa.array([keep(*g) for g in got], pa.bool_()))
+            got = [g for k in range(0, b.num_rows, 256) for g in _models[key].predict_all(b.column(n).slice(k, 256).to_pylist())]
+            yield out(b.columns[:n], got)
+        tidy()
+
+    return spread(docs.select(*columns, F.col(text_col).alias(f"text {key}"))).mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
+    """columns of docs with lang_pred and score."""
+    columns = [c for c in columns if c not in ("lang_pred", "score")]
+    names = [*columns, "lang_pred", "score"]
+
+    def out(kept: list[pa.Array], got: list[tuple[str, float]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*kept, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=names)
 
-    rows = docs.select(*columns) if place < n else docs.select(*columns, F.col(text_col).alias("text to judge"))
     schema = StructType([*docs.select(*columns).schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
-    return rows.mapInArrow(run, schema)
+    return _judged(docs, model, columns, text_col, schema, out)
+
+
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sure: float = SURE) -> DataFrame:
+    """docs, all columns, without texts whose language can't be told: those without a letter, and those whose best
+    language scores under `sure` times chance. Learnt from the labelled ones that aren't held out; without two languages
+    to tell apart only texts without a letter go."""
+    model, columns = fit(docs.where(~held_out(id_col)), id_col, text_col, lang_col), docs.columns
+    if len(model.languages) < 2:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+
+    least = sure / len(model.languages)
 
+    def out(kept: list[pa.Array], got: list[tuple[str, float]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(kept, names=columns).filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], pa.bool_()))
 
-def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without texts whose language can't be told; learnt from the labelled ones that aren't held out."""
-    model = fit(docs.where(~held_out(id_col)), id_col, text_col)
-    return predict(docs, model, docs.columns, text_col, keep=lambda lang, _: lang != UNKNOWN).select(*docs.columns)
+    return _judged(docs, model, columns, text_col, docs.schema, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
