@@ -2,21 +2,25 @@ r"""Benchmark decontamination by suffix arrays of the training texts.
 
 Documents are taken in shards; each shard gets a suffix array over its words, and every suffix of a benchmark item
 that starts a window (8 words; a shorter item is one window) is binary-searched in it, for the window's length. That
-gives the places of each window; from there the match is followed on for `longest`, which is 0 where no window hits.
-An item's last 7 suffixes start no window and aren't searched. The array holds the suffixes that can matter: those within a run of
-benchmark words at least as long as the shortest window; other words can't be part of a match. It is sorted by
-prefix doubling: ranks of pairs at growing offsets, until all are unique or longer than any item.
+gives the places of each window; from there the match is followed on to its full length, so that each item found comes
+with its longest verbatim match and where that starts. An item's last 7 suffixes start no window and aren't searched;
+`longest` is 0 where no window hits. The array holds the suffixes that can matter: those within a run of benchmark
+words at least as long as the shortest window; other words can't be part of a match. It is sorted by prefix doubling:
+ranks of pairs at growing offsets, until all are unique or longer than any item. Windows with a word that the shard
+lacks aren't searched.
 
-The benchmark goes to every task; its size is checked, and beyond MAX_WORDS it is taken in blocks of items, whose
-findings are then joined by document. Shards are bounded, so a task's memory doesn't grow with the input.
+The benchmark is taken in blocks of items of MAX_WORDS at most (or one item), one on the driver and in the tasks at a
+time; the findings of several blocks are written and then joined by document. Shards are bounded, so a task's memory
+doesn't grow with the input, but for a text longer than a shard, which is a shard of its own.
 
 Null or empty text: no words, no hit. Items without words or with a null id: no windows. Rows with equal item_id are
-one item. Repeated documents each get a row. Other columns are left out of the report; `clean` keeps all columns.
+one item. Repeated documents each get a row. Of equally long matches of an item in a document the first one counts. An
+empty table of either kind: no hits. Other columns are left out of the report; `clean` keeps all columns.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from crosstide.shipping import ship
 
-from .common import id_text, table
+from .common import id_text, table, written
 
 WINDOW = 8
 #: Items with windows in a document that make it contaminated.
@@ -113,8 +117,8 @@ def bound(words: np.ndarray, array: np.ndarray, flat: np.ndarray, q: np.ndarray,
     return low
 
 
-def search(texts: list[str | None], bench: Benchmark) -> list[tuple[int, np.ndarray, list[int], int]]:
-    """For each text of a shard: words, which of them are hit, the items found, the longest match in words (0: no window)."""
+def search(texts: list[str | None], bench: Benchmark) -> list[tuple[int, np.ndarray, dict[int, tuple[int, int]]]]:
+    """For each text of a shard: words, which of them are hit, by item found its longest match (words, first word)."""
     get = bench.vocabulary.get
     numbers, counts = [], []
     for text in texts:
@@ -125,7 +129,7 @@ def search(texts: list[str | None], bench: Benchmark) -> list[tuple[int, np.ndar
     pad = np.zeros(bench.longest + 1, np.int32)
     words = np.concatenate([*numbers, pad])
     starts = np.concatenate(([0], np.cumsum(np.array(counts, np.int64) + 1)))
-    hit, found, longest = np.zeros(len(words) + 1, np.int32), [set() for _ in texts], [0] * len(texts)
+    hit, found = np.zeros(len(words) + 1, np.int32), [{} for _ in texts]
     if bench.shortest:
         known = words > 0
         apart = np.concatenate(([-1], np.flatnonzero(~known)))
@@ -134,20 +138,32 @@ def search(texts: list[str | None], bench: Benchmark) -> list[tuple[int, np.ndar
         at = position[apart[after] - apart[after - 1] > bench.shortest]
         if len(at):
             array = suffix_array(words, at, bench.longest)
-            low = bound(words, array, bench.flat, bench.starts, bench.sizes, False)
-            high = bound(words, array, bench.flat, bench.starts, bench.sizes, True)
+            seen = np.zeros(len(bench.vocabulary) + 1, bool)
+            seen[words[at]] = True
+            for k in range(1, bench.shortest):  # a suffix of the array goes on for as long as the shortest window
+                seen[words[at + k]] = True
+            for k in range(bench.shortest, int(bench.sizes.max())):
+                ahead = at + k
+                seen[words[ahead[ahead < len(words)]]] = True
+            lacking = np.concatenate(([0], np.cumsum(~seen[bench.flat])))
+            asked = np.flatnonzero(lacking[bench.starts + bench.sizes] == lacking[bench.starts])
+            starts_, sizes_ = bench.starts[asked], bench.sizes[asked]
+            low = bound(words, array, bench.flat, starts_, sizes_, False)
+            high = bound(words, array, bench.flat, starts_, sizes_, True)
             for k in np.flatnonzero(high > low).tolist():
-                size, owner = int(bench.sizes[k]), int(bench.owners[k])
+                size, owner = int(sizes_[k]), int(bench.owners[asked[k]])
                 places = array[low[k] : high[k]]
                 np.add.at(hit, places, 1)
                 np.add.at(hit, places + size, -1)
                 most = np.full(len(places), bench.longest)
-                n, _ = common_length(words, places, bench.flat, np.full(len(places), bench.starts[k]), most)
-                for doc, m in zip((np.searchsorted(starts, places, "right") - 1).tolist(), n.tolist(), strict=True):
-                    found[doc].add(owner)
-                    longest[doc] = max(longest[doc], m)
+                n, _ = common_length(words, places, bench.flat, np.full(len(places), starts_[k]), most)
+                doc = np.searchsorted(starts, places, "right") - 1
+                for d, m, place in zip(doc.tolist(), n.tolist(), (places - starts[doc]).tolist(), strict=True):
+                    best = found[d].get(owner)
+                    if best is None or (-m, place) < (-best[0], best[1]):
+                        found[d][owner] = (m, place)
     covered = np.cumsum(hit) > 0
-    return [(counts[k], covered[starts[k] : starts[k] + counts[k]], sorted(found[k]), longest[k]) for k in range(len(texts))]
+    return [(counts[k], covered[starts[k] : starts[k] + counts[k]], found[k]) for k in range(len(texts))]
 
 
 def shards(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -160,50 +176,75 @@ def shards(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         at += n
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", max_words: int = MAX_WORDS) -> list[Benchmark]:
-    """The benchmark on the driver, a block at a time holding max_words at most (or one item)."""
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", max_words: int = MAX_WORDS) -> Iterator[Benchmark]:
+    """The benchmark on the driver, a block at a time holding max_words at most (or one item); one at least."""
     rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).orderBy("id", "text")
-    out, now, size = [], [], 0
+    now, size = [], 0
     for r in rows.toLocalIterator():
         n = len(r.text) // 2 + 1
-        if now and size + n > max_words:
-            out.append(Benchmark(now))
+        if now and size + n > max_words and r.id != now[-1][0]:
+            yield Benchmark(now)
             now, size = [], 0
         now.append((r.id, r.text))
         size += n
-    return [*out, Benchmark(now)]
+    yield Benchmark(now)
 
 
-SCHEMA = "doc_id long, n_words long, hits array<struct<start:int,end:int>>, items array<string>, longest long"
+SCHEMA = "doc_id long, n_words long, hits array<struct<start:int,end:int>>, found array<struct<item:string,words:long,start:long>>"
+_RUNS, _ITEMS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("item", pa.string()), ("words", pa.int64()), ("start", pa.int64())]))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
-    """A row for each document: doc_id, n_words, hits (runs of hit words, end exclusive), items, longest (words)."""
+def _by_name(bench: Benchmark, found: dict[int, tuple[int, int]]) -> dict[str, tuple[int, int]]:
+    """Rows with equal item_id are one item: its best match."""
+    out: dict[str, tuple[int, int]] = {}
+    for k, (words, start) in found.items():
+        name = bench.names[k]
+        out[name] = min(out.get(name, (words, start)), (words, start), key=lambda x: (-x[0], x[1]))
+    return out
 
-    def scan(bench: Benchmark, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _scanned(docs: DataFrame, bench: Benchmark) -> DataFrame:
+    """docs (doc_id, text) -> SCHEMA."""
+    sent = docs.sparkSession.sparkContext.broadcast(bench)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = sent.value
         for b in batches:
             for at, texts in shards(b.column(1)):
                 rows = search(texts, bench)
                 runs = []
-                for _, hit, _, _ in rows:
+                for _, hit, _ in rows:
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
                     runs.append([{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-                names = [sorted({bench.names[k] for k in items}) for _, _, items, _ in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(names, pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.int64())],
-                    names=["doc_id", "n_words", "hits", "items", "longest"],
-                )
-
-    docs, found = id_text(docs, id_col, text_col), blocks(benchmark, max_words=max_words)
-    if len(found) == 1:
-        return docs.mapInArrow(lambda it, bench=found[0]: scan(bench, it), SCHEMA)
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = None
-    for bench in found:
-        one = docs.select(F.col("row").alias("doc_id"), "text").mapInArrow(lambda it, bench=bench: scan(bench, it), SCHEMA).withColumnRenamed("doc_id", "row")
+                items = [[{"item": x, "words": n, "start": s} for x, (n, s) in sorted(_by_name(bench, r[2]).items())] for r in rows]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array(runs, _RUNS), pa.array(items, _ITEMS)], names=["doc_id", "n_words", "hits", "found"])
+
+    return docs.mapInArrow(scan, SCHEMA)
+
+
+def _blockwise(docs: DataFrame, first: Benchmark, rest: Iterator[Benchmark], second: Benchmark) -> DataFrame:
+    """docs (row, text), a written table -> (row, n_words, hits, found) over all blocks, each block's findings written."""
+    asked, parts = docs.select(F.col("row").alias("doc_id"), "text"), None
+    for bench in itertools.chain((first, second), rest):
+        one = written(_scanned(asked, bench).where("size(hits) > 0 or n_words > 0"), "findings")
         parts = one if parts is None else parts.unionByName(one)
-    merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-    return docs.select("row", "doc_id").join(merged, "row").select("doc_id", "n_words", "hits", "items", "longest")
+    return parts.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+    """A row for each document: doc_id, n_words, hits (runs of hit words, end exclusive; runs of several blocks may
+    overlap), found (each item with its longest match: words, and the first one's place), items, longest (words)."""
+    docs, parts = id_text(docs, id_col, text_col), blocks(benchmark, item_col, item_text_col, max_words)
+    first = next(parts)
+    if (second := next(parts, None)) is None:
+        out = _scanned(docs, first)
+    else:
+        docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        merged = docs.select("row", "doc_id").join(_blockwise(docs, first, parts, second), "row", "left")
+        kinds = {f.name: f.dataType.simpleString() for f in merged.schema.fields}
+        none = {c: F.array().cast(kinds[c]) for c in ("hits", "found")} | {"n_words": F.lit(0).cast("long")}
+        out = merged.select("doc_id", *[F.coalesce(c, x).alias(c) for c, x in none.items()])
+    return out.select("doc_id", "n_words", "hits", "found", F.transform("found", lambda x: x["item"]).alias("items"), F.coalesce(F.array_max(F.transform("found", lambda x: x["words"])), F.lit(0).cast("long")).alias("longest"))
 
 
 def covered(hits) -> F.Column:
@@ -212,20 +253,27 @@ def covered(hits) -> F.Column:
     return F.aggregate(hits, start, lambda a, h: F.struct(F.greatest(a["end"], h["end"]).alias("end"), (a["n"] + F.greatest(h["end"] - F.greatest(a["end"], h["start"]), F.lit(0))).alias("n")))["n"]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_items: int = MIN_ITEMS, max_words: int = MAX_WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_items: int = MIN_ITEMS, item_col: str = "item_id", item_text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """docs, all columns, without those in which windows of min_items items occur."""
     ship(docs.sparkSession)
-    found = blocks(benchmark, max_words=max_words)
-    place = docs.columns.index(text_col)
+    parts, names = blocks(benchmark, item_col, item_text_col, max_words), docs.columns
+    first = next(parts)
+    if (second := next(parts, None)) is not None:
+        kept = [f"k{k}" for k in range(len(names))]
+        rows = docs.toDF(*kept).withColumn("row", F.monotonically_increasing_id())
+        rows = written(rows, "numbered")
+        text = F.coalesce(F.col(kept[names.index(text_col)]), F.lit("")).alias("text")
+        found = _blockwise(rows.select("row", text), first, parts, second)
+        bad = found.where(F.size("found") >= min_items).select("row")
+        return rows.join(bad, "row", "left_anti").select(*kept).toDF(*names)
+    place, sent = names.index(text_col), docs.sparkSession.sparkContext.broadcast(first)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = sent.value
         for b in batches:
             for at, texts in shards(b.column(place)):
-                items = [set() for _ in texts]
-                for bench in found:
-                    for k, r in enumerate(search(texts, bench)):
-                        items[k] |= {bench.names[i] for i in r[2]}
-                yield b.slice(at, len(texts)).filter(pa.array([len(x) < min_items for x in items]))
+                bad = [len(_by_name(bench, r[2])) >= min_items for r in search(texts, bench)]
+                yield b.slice(at, len(texts)).filter(pa.array([not x for x in bad], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
