@@ -2,9 +2,11 @@
 
 Each shingle of five words is hashed once; the top bits of the hash say its bin, and a bin keeps its least hash. An
 empty bin copies the bin that a hash of (bin, attempt) leads to, with attempts until a full one is met, so that two
-documents' empty bins meet as their full ones do (optimal densification). BITS low-order bits of each bin are stored.
-Bins of different shingles agree by chance with probability 2^-BITS; the likeness takes that out:
-(agreeing - c) / (1 - c) with c = 2^-BITS, not under 0.
+documents' empty bins meet as their full ones do (optimal densification). BITS low-order bits of each bin are stored,
+of the hash mixed with the bin's number: else all copies of one hash would keep the same bits, and agree by chance all
+together. Bins of different shingles agree by chance with probability 2^-BITS, each for itself; the likeness takes that
+out: (agreeing - c) / (1 - c) with c = 2^-BITS, not under 0. For texts without a common shingle it stays under 0.1 but
+for one in 10^5 or so, however short they are.
 
 Documents without words have the fingerprint of no shingle, all zero with the mark `-`; two such are alike (1), one
 such and another are not (0). Null text: empty. Repeated ids are ordered by text; null ids come last. Other columns
@@ -12,7 +14,7 @@ are left out.
 
 Edited texts need the next document by falling id: documents are dealt by ranges of it and sorted; a range's last
 document and its first one are handed on with their texts, and a second pass joins the ranges' ends. That pass reads
-two documents for each range.
+two documents for each range. An empty table: none. A long text is shingled at once, in some 100 bytes a word.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordHashes, id_text, mixed, partitions, shingle_hashes, table, written
+from .common import ASCII_LOWER, WordHashes, id_text, mixed, partitions, shingle_hashes, table, tidy, written
 
 BINS, BITS, WIDTH = 256, 4, 5
 _hashes = WordHashes()
@@ -65,7 +67,8 @@ def of_shingles(h: np.ndarray, bins: int = BINS, bits: int = BITS) -> np.ndarray
                 break
         if len(empty):  # no full bin met in all attempts: the first full one
             least[empty] = h[0]
-    return (mixed(least) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    own = mixed(np.arange(1, bins + 1, dtype=np.uint64))
+    return (mixed(least ^ own) & np.uint64((1 << bits) - 1)).astype(np.uint8)
 
 
 def packed(f: np.ndarray | None, bins: int = BINS, bits: int = BITS) -> str:
@@ -129,6 +132,7 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
     if last is not None:
         yield _batch([(last[0], *none[1:], part, 1, last[1])], FIELDS + EDGE)
+    tidy(_hashes)
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
