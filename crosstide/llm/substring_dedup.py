@@ -9,26 +9,29 @@ LENGTH bytes, past the threshold, each surviving name gets the least document id
 To send a pair for every byte at each round would move the corpus many times. So a string of LENGTH bytes is ranked
 at the first round through one place in it, the least name of FIRST bytes inside; equal strings have equal places, so
 none is lost. Neighbouring strings mostly share the place; a run of them, with its bytes, is what the second round
-sees. There the strings themselves are named and compared.
+sees. There the strings themselves are named, by two independent names of 64 bits each: bytes go on 128 equal bits. In
+the first round 32 bits of a name within its part are enough, since equal ones of different places only send on more.
 
-1. Documents go to batches by a hash, written as a bucketed table, which the later steps read without a shuffle.
+1. Documents go to batches by a hash, written as a bucketed table, which the later steps read without a shuffle; it is
+   dropped when the result is written, and so are the tables between the steps.
 2. Each batch sends its distinct places once, by the name's part; a part says, a bit each, which occur elsewhere.
 3. Each batch sends the distinct runs of those, with the least id in the batch that has each; a part finds the
    least id of every string of LENGTH bytes and answers by run and offset.
 4. Each batch marks what the answers cover.
 
+Batches and parts follow from the bytes of text, BATCH_BYTES and PART_BYTES each, so neither grows with the input.
 Within a batch equal places and runs are sent once, so a passage that a third of the corpus shares reaches a part
-once per batch. Batches hold about BATCH documents.
+once per batch.
 
 Null text: empty. A null id counts as the largest. Repeated ids: neither is smaller, so they don't remove each other.
-Other columns are left out.
+A long text is in one batch, however long, and named by overlapping stretches. An empty table: none. Other columns are
+left out.
 """
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,30 +39,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, mixed, partitions, table, written
+from .common import id_text, mixed, removed, table, written
 
-LENGTH, FIRST, BATCH = 50, 24, 1000
+LENGTH, FIRST = 50, 24
+#: Bytes of text behind a batch and a part, about.
+BATCH_BYTES, PART_BYTES = 3 << 20, 8 << 20
 #: Bytes named at once: the arrays of a step stay in the processor's cache.
 SLICE = 1 << 18
 LAST_ID = 2**63 - 1
 
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_FACTORS = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+#: Names of single bytes and factors, for each of two independent namings.
+_BYTES = [mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(x)) for x in (0x9E3779B97F4A7C15, 0xA24BAED4963EE407)]
+_FACTORS = [mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(x)) | np.uint64(1) for x in (0xD1342543DE82EF95, 0x9FB21C651E98DF25)]
 
 
-def names(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+def names(data: np.ndarray, sizes: tuple[int, ...], naming: int = 0) -> list[np.ndarray]:
     """For each size (rising), the names of the strings of that size at each place of data where one fits."""
+    first, factors = _BYTES[naming], _FACTORS[naming]
     need = [[k for k in range(size.bit_length() - 1, -1, -1) if size >> k & 1] for size in sizes]
-    powers, out = [_BYTES[data]], []
+    powers, out = [first[data]], []
     for k in range(max(n[0] for n in need)):
         p, half = powers[-1], 1 << k
-        powers.append(p[:-half] * _FACTORS[k] + p[half:] if len(p) > half else p[:0])
+        powers.append(p[:-half] * factors[k] + p[half:] if len(p) > half else p[:0])
     for size, parts in zip(sizes, need, strict=True):
         fits, at = max(0, len(data) - size + 1), 0
         got = np.zeros(fits, np.uint64)
         for k in parts:
             if at:
-                got *= _FACTORS[32 + k]
+                got *= factors[32 + k]
             got += powers[k][at : at + fits]
             at += 1 << k
         out.append(mixed(got))
@@ -162,8 +169,8 @@ def _rows(fields: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
 NAMES = [("part", pa.int64()), ("batch", pa.int64()), ("names", pa.binary()), ("shared", pa.binary())]
 BITS = [("batch", pa.int64()), ("part", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
 RUNS = [("part", pa.int64()), ("batch", pa.int64()), ("sizes", pa.binary()), ("ids", pa.binary()), ("data", pa.binary())]
-OUT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]
-_ddl = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+OUT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())]
+_ddl = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
 
 
 def _schema(fields: list) -> str:
@@ -173,7 +180,7 @@ def _schema(fields: list) -> str:
 def _send_names(parts: int):
     def run(docs: pa.Table) -> pa.Table:
         batch, number = Batch(docs, parts), docs.column("batch")[0].as_py()
-        return _rows(NAMES, [(part, number, batch.names[at].tobytes(), np.packbits(batch.shared[at]).tobytes()) for part, at in batch.by_part()])
+        return _rows(NAMES, [(part, number, (batch.names[at] >> np.uint64(32)).astype(np.uint32).tobytes(), np.packbits(batch.shared[at]).tobytes()) for part, at in batch.by_part()])
 
     return run
 
@@ -182,8 +189,8 @@ def _rank_names(rows: pa.Table) -> pa.Table:
     """A bit for each name of each batch: whether it occurs in two documents."""
     batches, blobs, shared = rows.column("batch").to_pylist(), rows.column("names").to_pylist(), rows.column("shared").to_pylist()
     part = rows.column("part")[0].as_py()
-    every = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs])
-    local = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8))[: len(x) // 8] for s, x in zip(shared, blobs, strict=True)]).astype(bool)
+    every = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs])
+    local = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8))[: len(x) // 4] for s, x in zip(shared, blobs, strict=True)]).astype(bool)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
     same = ranked[1:] == ranked[:-1]
@@ -193,7 +200,7 @@ def _rank_names(rows: pa.Table) -> pa.Table:
     twice |= local
     out, at = [], 0
     for number, x in zip(batches, blobs, strict=True):
-        n = len(x) // 8
+        n = len(x) // 4
         out.append((number, part, 0, np.packbits(twice[at : at + n]).tobytes(), None, None))
         at += n
     return _rows(BITS, out)
@@ -205,7 +212,7 @@ def _send_runs(parts: int):
             return _rows(RUNS, [])
         batch, number = Batch(docs, parts), docs.column("batch")[0].as_py()
         found, _, _, ids = batch.surviving(dict(zip(said.column("part").to_pylist(), said.column("a").to_pylist(), strict=True)))
-        return _rows(RUNS, [(part, number, np.array([len(t) for t in texts], np.uint32).tobytes(), np.array(ids[part], np.int64).tobytes(), zlib.compress(b"".join(texts), 1)) for part, texts in found.items()])
+        return _rows(RUNS, [(part, number, np.array([len(t) for t in texts], np.uint32).tobytes(), np.array(ids[part], np.int64).tobytes(), pa.compress(b"".join(texts), codec="zstd", asbytes=True)) for part, texts in found.items()])
 
     return run
 
@@ -215,26 +222,29 @@ def _rank_strings(rows: pa.Table) -> pa.Table:
     part, batches = rows.column("part")[0].as_py(), rows.column("batch").to_pylist()
     sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows.column("sizes").to_pylist()]
     owners = [np.frombuffer(x, np.int64) for x in rows.column("ids").to_pylist()]
-    hashes = []
+    hashes, checks = [], []
     for size, blob in zip(sizes, rows.column("data").to_pylist(), strict=True):
-        data, first, at = np.frombuffer(zlib.decompress(blob), np.uint8), 0, 0
+        data, first, at = np.frombuffer(pa.decompress(blob, int(size.sum()), codec="zstd", asbytes=True), np.uint8), 0, 0
         while first < len(size):
             last = first + max(1, int(np.searchsorted(np.cumsum(size[first:]), SLICE, "right")))
             n = int(size[first:last].sum())
-            strings = names(data[at : at + n], (LENGTH,))[0]
             ends = np.cumsum(size[first:last])
-            inside = np.ones(len(strings), bool)
+            inside = np.ones(n - LENGTH + 1, bool)
             for k in range(1, LENGTH):  # those that would reach into the next run
                 cut = ends[:-1] - k
                 inside[cut[cut < len(inside)]] = False
-            hashes.append(strings[inside])
+            for naming, into in ((0, hashes), (1, checks)):
+                into.append(names(data[at : at + n], (LENGTH,), naming)[0][inside])
             first, at = last, at + n
-    every = np.concatenate(hashes)
+    every, check = np.concatenate(hashes), np.concatenate(checks)
     counts = np.concatenate(sizes) - LENGTH + 1
     own = np.repeat(np.concatenate(owners), counts)
     order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    new = every[order[1:]] != every[order[:-1]]
+    if (~new & (check[order[1:]] != check[order[:-1]])).any():  # one name for two strings
+        order = np.lexsort((check, every))
+        new = (every[order[1:]] != every[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+    heads = np.flatnonzero(np.concatenate(([True], new)))
     low = np.minimum.reduceat(own[order], heads)
     gap = np.empty(len(every), np.int64)
     gap[order] = own[order] - np.repeat(low, np.diff(np.concatenate((heads, [len(every)]))))
@@ -253,7 +263,7 @@ def _rank_strings(rows: pa.Table) -> pa.Table:
     return _rows(BITS, out)
 
 
-def _mark(parts: int):
+def _mark(parts: int, texts: bool):
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _rows(OUT, [])
@@ -288,41 +298,40 @@ def _mark(parts: int):
             for s, e in spans:
                 kept.append(text[at:s])
                 at = e
-            rows.append((None if doc == LAST_ID and batch.null else doc, len(text), [{"start": s, "end": e} for s, e in spans], b"".join([*kept, text[at:]])))
+            rest = b"".join([*kept, text[at:]])
+            rows.append((None if doc == LAST_ID and batch.null else doc, len(text), [{"start": s, "end": e} for s, e in spans], rest if texts else None, hashlib.sha256(rest).hexdigest()))
         return _rows(OUT, rows)
 
     return run
 
 
-def _free(spark: SparkSession) -> None:
-    """Shuffle files of what is written by now can go once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_docs: int = BATCH) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, spans (removed bytes, end exclusive, maximal), kept (bytes)."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, batch_bytes: int = BATCH_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """A row for each document: doc_id, n_bytes, spans (removed bytes, end exclusive, maximal), kept (bytes; null without
+    `texts`), kept_sha256."""
     spark = docs.sparkSession
     docs = id_text(docs, id_col, text_col)
-    buckets = partitions(spark)
-    batches = max(buckets, -(-docs.count() // batch_docs))
-    buckets, parts = max(buckets, batches // 4), 2 * partitions(spark)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    cores = spark.sparkContext.defaultParallelism
+    batches, parts = max(cores, -(-size // batch_bytes)), max(cores, -(-size // part_bytes))
+    buckets = max(cores, batches // 4)
     # a hash of its own, lest batches and buckets go together
     docs = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)))
     name = f"substring_dedup_{uuid.uuid4().hex}"
     docs.repartition(buckets, "batch").write.bucketBy(buckets, "batch").sortBy("batch").option("compression", "zstd").saveAsTable(name)
-    _free(spark)
-    docs = spark.table(name)
-    sent = docs.groupBy("batch").applyInArrow(_send_names(parts), _schema(NAMES))
-    bits = written(sent.groupBy("part").applyInArrow(_rank_names, _schema(BITS)), "bits")
-    _free(spark)
-    found = docs.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(_send_runs(parts), _schema(RUNS))
-    answers = written(found.groupBy("part").applyInArrow(_rank_strings, _schema(BITS)), "answers")
-    _free(spark)
-    return docs.groupBy("batch").cogroup(bits.unionByName(answers).groupBy("batch")).applyInArrow(_mark(parts), _schema(OUT))
+    try:
+        docs = spark.table(name)
+        sent = docs.groupBy("batch").applyInArrow(_send_names(parts), _schema(NAMES))
+        bits = written(sent.groupBy("part").applyInArrow(_rank_names, _schema(BITS)), "bits")
+        found = docs.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(_send_runs(parts), _schema(RUNS))
+        answers = written(found.groupBy("part").applyInArrow(_rank_strings, _schema(BITS)), "answers")
+        out = written(docs.groupBy("batch").cogroup(bits.unionByName(answers).groupBy("batch")).applyInArrow(_mark(parts, texts), _schema(OUT)), "deduped")
+        removed(bits, answers)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents"))
-    size = F.length("kept").cast("long")
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - size).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = dedup(table(spark, sf_dir, "documents"), texts=False)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

@@ -51,7 +51,7 @@ def test_substring_dedup(spark):
     share = text(30)
     docs = [(k, random.choice([text(12), share, text(5) + share + text(6), "ü" * 70 + share[:60], "a" * random.randrange(40, 200)])) for k in range(80)]
     docs += [(d, t) for d, t in ODD if d is not None and len(t or "") < 1000] + [(950, docs[3][1]), (951, docs[3][1]), (7, docs[9][1]), (800, text(60_000, 10_000)[:300_000])]
-    out = substring_dedup.dedup(corpus(spark, docs), batch_docs=9)
+    out = substring_dedup.dedup(corpus(spark, docs), batch_bytes=20_000, part_bytes=30_000)
     got = sorted((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect())
     assert got == brute_substrings(docs)
     assert substring_dedup.dedup(corpus(spark, docs[:0] + [(1, "x")]).limit(0)).count() == 0
