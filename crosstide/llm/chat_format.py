@@ -43,13 +43,12 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    r"""A backslash as \b, a line end as \n: each backslash that is left begins one of these."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    """Pairs of backslashes are set aside as \\x00 pairs first, so that `\\\\n` stays a backslash and an n."""
-    held = F.regexp_replace(unescape(role), r"\\(.)", "\x00$1")
-    return F.replace(F.replace(held, F.lit("\x00n"), F.lit("\n")), F.lit("\x00\\"), F.lit("\\"))
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def _next(state: Column, role: Column) -> Column:
