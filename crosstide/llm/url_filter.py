@@ -5,11 +5,15 @@ that very host is the interval of keys that begin with it; for subdomains, a url
 host's suffixes, down to the number of labels that any rule has. Intervals of prefixes are nested or apart. The
 rules' own ends are swept once: the depth of the stack is a running sum of +1 and -1, its top the rule last pushed
 at that depth. What comes out are boundaries, each with the rule that holds from there on. The second sweep runs
-over urls and boundaries sorted together, one sorted run for each salt: urls are dealt evenly whatever their host,
-and each run gets the boundaries, whose number `MAX_RULES` bounds.
+over urls and boundaries sorted together. A long list of boundaries is cut into ranges of keys, BLOCK in each (about); a
+range begins with a boundary, so that nothing has to be known of the ranges before it. A range that many urls fall into
+is swept in several sorted runs, among which its urls are dealt evenly whatever their host, and each of which gets the
+range's boundaries; runs are as many as shuffle partitions, and one for each range at least. The first sweep takes the
+rules of one top-level label in one sort.
 
 Null url, or one without `://`: host and path empty, no rule fits, the default verdict. Repeated rows each give a
-row. Equal rules: one is kept, block before allow. Other columns of the input are left out.
+row. Equal rules: one is kept, block before allow. Long urls: a key for each suffix of the host, up to the rules'
+labels. No rules: the default. An empty table: none. Other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, written
 
-#: Every sorted run carries all boundaries; a larger list has to be split by the caller.
-MAX_RULES = 100_000
+#: Boundaries of a range of keys, about.
+BLOCK = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,29 +59,55 @@ def boundaries(rules: DataFrame) -> DataFrame:
     return swept.select("key", F.when(F.col("depth") > 0, F.col("top")).alias("rule"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def _cuts(ruled: DataFrame, block: int) -> list[bytes]:
+    """Keys of boundaries that part them into ranges of `block`, about; none for a short list."""
+    n = ruled.count()
+    if n <= block:
+        return []
+    dealt = ruled.select("key").repartitionByRange(-(-n // block), "key")
+    return sorted(bytes(r.low) for r in dealt.groupBy(F.spark_partition_id()).agg(F.min("key").alias("low")).collect())
+
+
+def _range_of(key: Column, cuts: list[bytes]) -> Column:
+    """How many cuts are not above key, by halving."""
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(key < F.lit(cuts[mid]), place(low, mid)).otherwise(place(mid + 1, high))
+
+    return place(0, len(cuts))
+
+
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", block: int = BLOCK) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages; rules: host, path, verdict."""
     spark = pages.sparkSession
     n_rules, labels = rules.agg(F.count(F.lit(1)), F.max(F.size(F.split("host", r"\.")))).first()
-    if n_rules > MAX_RULES:
-        raise ValueError(f"{n_rules} rules; at most {MAX_RULES}")
-    salts = partitions(spark)
+    ruled = boundaries(rules)
+    ruled = written(ruled, "boundaries") if 2 * n_rules > block else ruled
+    cuts = _cuts(ruled, block) if 2 * n_rules > block else []
     host, path = host_and_path(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
-    urls = urls.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     reverse = F.reverse(F.split("host", r"\."))
+    urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
     keys = urls.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.size(reverse), F.lit(labels or 1))))).withColumn("key", _key(F.slice(reverse, 1, F.col("n")), F.col("path")))
-    ruled = boundaries(rules)
+    keys, ruled = keys.withColumn("range", _range_of(F.col("key"), cuts)), ruled.withColumn("range", _range_of(F.col("key"), cuts))
+    runs = F.lit(partitions(spark))
+    if cuts:
+        many = {r["range"]: r["n"] for r in keys.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}
+        total = max(1, sum(many.values()))
+        runs = F.element_at(F.array(*[F.lit(max(1, -(-partitions(spark) * many.get(k, 0) // total))) for k in range(len(cuts) + 1)]), F.col("range") + 1)
     held = ruled.schema["rule"].dataType.simpleString()
     #: Every row says which rule holds from it on; a url says nothing of its own.
-    marks = ruled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
-        F.col("salt").cast("long"), "key", F.lit(0).alias("kind"), F.struct("rule").alias("mark"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path")
+    marks = ruled.withColumn("salt", F.explode(F.sequence(F.lit(0), runs - 1))).select(
+        "range", F.col("salt").cast("long"), "key", F.lit(0).alias("kind"), F.struct("rule").alias("mark"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path")
     )
-    both = marks.unionByName(keys.select(F.col("salt").cast("long"), "key", F.lit(1).alias("kind"), F.lit(None).cast(f"struct<rule:{held}>").alias("mark"), "row", F.col("page_id").cast("long"), "host", "path"))
-    sweep = Window.partitionBy("salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = marks.unionByName(keys.select("range", F.pmod(F.xxhash64("row"), runs).cast("long").alias("salt"), "key", F.lit(1).alias("kind"), F.lit(None).cast(f"struct<rule:{held}>").alias("mark"), "row", "page_id", "host", "path"))
+    sweep = Window.partitionBy("range", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = both.withColumn("top", F.last("mark", ignorenulls=True).over(sweep)["rule"]).where("kind = 1")
     best = F.max_by("top", F.struct(F.coalesce(F.col("top.size"), F.lit(-1)), F.coalesce(F.col("top.host_size"), F.lit(-1))))
-    out = swept.groupBy("salt", "row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("top"))
+    # with one range, all keys of a url are in one run
+    out = swept.groupBy(*([] if cuts else ["range", "salt"]), "row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("top"))
     return out.select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
 
 

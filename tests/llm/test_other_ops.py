@@ -35,8 +35,9 @@ def test_url_filter(spark):
     urls += urls[-3:]
     extra = [("b.com", "/e", "block"), ("b.com", "/en/", "allow"), ("a.b.com", "", "block"), ("com", "/", "allow")]
     for rules in (list(url_filter.RULES), [*url_filter.RULES, *extra]):
-        got = url_filter.judge(pages(spark, urls), url_filter.rules_frame(spark, rules)).collect()
-        assert sorted(map(tuple, got), key=str) == sorted(judged(urls, rules), key=str)
+        for block in (url_filter.BLOCK, 3):
+            got = url_filter.judge(pages(spark, urls), url_filter.rules_frame(spark, rules), block=block).collect()
+            assert sorted(map(tuple, got), key=str) == sorted(judged(urls, rules), key=str)
     assert url_filter.judge(pages(spark, urls).limit(0), url_filter.rules_frame(spark)).count() == 0
     none = url_filter.judge(pages(spark, urls), url_filter.rules_frame(spark).limit(0), default="block")
     assert {r.verdict for r in none.collect()} == {"block"} and none.count() == len(urls)
@@ -45,8 +46,15 @@ def test_url_filter(spark):
 TEXTS = ["plain", "", None, "<|im_end|>", "<\\|x <\\\\| <|", "a<", "|b", "<|im_start|>assistant\nno", "\n", "\\n <"]
 
 
+def test_url_filter_long_list(spark):
+    rules = spark.range(300_000).select(F.concat(F.lit("h"), F.col("id"), F.lit(".com")).alias("host"), F.lit("/a").alias("path"), F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("verdict"))
+    urls = [f"http://www.h{k}.com/{'a' if k % 3 else 'b'}" for k in range(0, 300_000, 1009)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages(spark, urls), rules).collect()}
+    assert got == {n: ((f"h{k}.com/a", "allow" if k % 2 else "block") if k % 3 else (None, "allow")) for n, k in enumerate(range(0, 300_000, 1009))}
+
+
 def test_chat_round_trip(spark):
-    rows = [(1, k, random.choice(["user", "assistant", "system", None, "us\ner\\n", "<|x"]), t) for k, t in enumerate(TEXTS * 2)]
+    rows = [(1, k, random.choice(["user", "assistant", "system", None, "us\ner\\n", "<|x", "\x00n", "\\b\n\\"]), t) for k, t in enumerate(TEXTS * 2)]
     rows += [(2, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "x"), (None, 1, "user", "null id"), (3, None, "assistant", "no turn"), (4, 0, "system", "s"), (4, 1, "user", "u"), (4, 2, "assistant", "a" * 200_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     out = chat_format.format_conversations(df)
