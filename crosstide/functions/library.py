@@ -61,6 +61,19 @@ def _pair(op: str):
     return lambda x, y, p: node(op, x, y, params=(p,))
 
 
+def _centred(x: Signal) -> Signal:
+    """x less its first value, which no variance or covariance depends on: their differences don't cancel."""
+    return x - node("origin", x)
+
+
+def _ewma_cov(y: Signal, x: Signal, h: int) -> Signal:
+    return node("ewma_cov", _centred(y), _centred(x), node("row"), params=(h,))
+
+
+def _ewma_var(x: Signal, h: int) -> Signal:
+    return node("ewma_var", _centred(x), node("row"), params=(h,))
+
+
 def _held(op: str):
     return lambda x, n: node("hold", node(op, x, params=(n,)))
 
@@ -73,8 +86,8 @@ def _group_std(x: Signal, g: str, w: int) -> Signal:
 _TABLE: list[tuple] = [
     ("field", "t", field),
     *[(name, "", lambda name=name: field(name)) for name in ("close", "open", "high", "low")],
-    ("returns", "n", _returns),
-    ("volatility", "n", lambda n: node("ts_std", _returns(1), params=(n,)) * (YEAR**0.5)),
+    ("returns", "nt", lambda n, price: _returns(n, price), ("close",)),
+    ("volatility", "nt", lambda n, price: node("ts_std", _returns(1, price), params=(n,)) * (YEAR**0.5), ("close",)),
     ("volume", "n", lambda n: node("ts_mean", field("volume"), params=(n,))),
     ("adv", "n", lambda n: node("ts_mean", field("close") * field("volume"), params=(n,))),
     *[(op, "xk", _rolling(op)) for op in ("ts_mean", "ts_std", "ts_sum", "ts_max", "ts_min", "ts_var", "ts_rank", "ts_skew", "ts_kurt")],
@@ -86,9 +99,9 @@ _TABLE: list[tuple] = [
     ("ts_cov", "xxk", _pair("ts_cov")),
     ("ts_beta", "xxk", lambda y, x, p: node("ts_cov", y, x, params=(p,)) / node("ts_var", x, params=(p,))),
     ("ewma", "xk", _with_row("ewma")),
-    ("ewma_var", "xk", _with_row("ewma_var")),
-    ("ewma_cov", "xxk", _with_row("ewma_cov")),
-    ("ts_beta_ewma", "xxk", lambda y, x, h: node("ewma_cov", y, x, node("row"), params=(h,)) / node("ewma_var", x, node("row"), params=(h,))),
+    ("ewma_var", "xk", _ewma_var),
+    ("ewma_cov", "xxk", _ewma_cov),
+    ("ts_beta_ewma", "xxk", lambda y, x, h: _ewma_cov(y, x, h) / _ewma_var(x, h)),
     *[(op, "xk", _held(op)) for op in ("ts_mean_events", "ts_std_events", "ts_sum_events")],
     *[(op, "x", lambda x, op=op: node(op, x)) for op in ("rank", "zscore", "demean", "scale", "is_valid", "log", "abs", "sign", "sqrt")],
     ("quantile", "xk", _rolling("quantile"), (5,)),
@@ -115,7 +128,7 @@ def register_function(name: str, kinds: str, build: Callable[..., Signal]) -> No
 _BACK: dict[str, tuple[int, int] | None] = {
     **dict.fromkeys(("ts_mean", "ts_std", "ts_sum", "ts_max", "ts_min", "ts_var", "ts_rank", "ts_skew", "ts_kurt", "ts_argmax", "ts_argmin", "decay_linear", "ts_corr", "ts_cov", "trail_count", "trail_mean", "trail_spread"), (0, -1)),
     **dict.fromkeys(("delay", "fill_forward"), (0, 0)),
-    **dict.fromkeys(("pad", "hold", "ewma", "ewma_var", "ewma_cov", "ts_mean_events", "ts_std_events", "ts_sum_events", "ts_count_events", "group_pool")),
+    **dict.fromkeys(("pad", "hold", "origin", "ewma", "ewma_var", "ewma_cov", "ts_mean_events", "ts_std_events", "ts_sum_events", "ts_count_events", "group_pool")),
 }
 
 

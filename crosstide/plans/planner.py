@@ -4,6 +4,9 @@ Equal subtrees are computed once, over all signals planned together. Nodes run i
 ticker axis, then all on the date axis, and so by turns, so that the data is dealt anew only where the axis changes;
 elementwise nodes join whichever wave they are ready in. Only the fields in use are read. With a first date, history
 before it is cut to what the signals reach back to, where that is bounded.
+
+Fields of a catalogue may have calendars of their own. What is computed from fields of one calendar is computed on its
+dates; where two meet, each side is computed for itself and then brought to the dates of both.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from crosstide.functions.library import lookback
 from .signals import Signal, is_scalar
 
 CORES["hold"] = Core("T", lambda c, v: F.last(c[0], ignorenulls=True).over(so_far()), lambda c, v: f"last_value({c[0]} IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)")
+CORES["origin"] = Core("T", lambda c, v: F.first(finite(c[0]), ignorenulls=True).over(so_far()), lambda c, v: f"first_value(CASE WHEN abs({c[0]}) < 'infinity'::DOUBLE THEN {c[0]} END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING)")
 CORES["finite"] = Core("E", lambda c, v: finite(c[0]), lambda c, v: f"(CASE WHEN abs({c[0]}) < 'infinity'::DOUBLE THEN {c[0]} END)")
 #: Half-lives in a history beyond which exponential weights leave a double's range; squares go twice as far.
 MOST_HALF_LIVES = 450
@@ -45,7 +49,8 @@ class ComputeContext:
 
     def __init__(self) -> None:
         self.cache: dict[tuple, Signal] = {}
-        self.frames: dict[tuple, DataFrame] = {}
+        #: With the data, lest its id be given away again.
+        self.frames: dict[tuple, tuple[object, DataFrame]] = {}
 
     def clear(self) -> None:
         self.cache.clear()
@@ -100,8 +105,11 @@ def fields_of(nodes: list[Signal]) -> tuple[list[str], list[str]]:
 
 def plan(signals: dict[str, Signal], data, start=None, end=None) -> DataFrame:
     """(date, ticker, a column for each signal) over data; start, end: first and last date, inclusive."""
-    from crosstide.sources.catalog import panel_of
+    from crosstide.sources.catalog import panel_of, resolve_data
 
+    data = resolve_data(data)
+    if not isinstance(data, DataFrame):
+        signals, data = _on_one_calendar(signals, data)
     nodes = ordered(list(signals.values()))
     if context := get_context():
         context.cache.update((x.cache_key(), x) for x in nodes if x.op != "row")
@@ -113,7 +121,7 @@ def plan(signals: dict[str, Signal], data, start=None, end=None) -> DataFrame:
     if end is not None:
         panel = panel.where(F.col("date") <= F.lit(end).cast("date"))
     names = {x.cache_key(): f"v{k}" for k, x in enumerate(nodes)}
-    slow = {x.cache_key() for x in nodes if x.op.startswith("ewma") and x.params[0] < 30}
+    slow = {x.cache_key() for x in nodes if x.op.startswith("ewma")}
     rows = panel.select("date").distinct().count() if slow else 0
 
     def column(x: Signal) -> Column:
@@ -137,6 +145,34 @@ def plan(signals: dict[str, Signal], data, start=None, end=None) -> DataFrame:
     return out if start is None else out.where(F.col("date") >= F.lit(start).cast("date"))
 
 
+def _on_one_calendar(signals: dict[str, Signal], data) -> tuple[dict[str, Signal], object]:
+    """signals and a catalogue in which operands from other calendars than the whole are fields, computed on their own."""
+    from crosstide.sources.catalog import LazyData
+
+    calendars = data.calendars(fields_of(ordered(list(signals.values())))[0])
+    if len(set(calendars.values())) < 2:
+        return signals, data
+    made: dict[tuple, str] = {}
+    frames = {}
+
+    def of(x: Signal) -> frozenset:
+        return frozenset(calendars[y.params[0]] for y in ordered([x]) if y.op == "field")
+
+    def brought(x: Signal, whole: frozenset) -> Signal:
+        own = of(x)
+        if not own or x.op == "field" and own == whole:
+            return x
+        if own == whole:
+            return Signal(op=x.op, operands=tuple(brought(k, whole) for k in x.operands), params=x.params) if len(whole) > 1 else x
+        name = made.setdefault(x.cache_key(), f"@{len(made)}")
+        frames.setdefault(name, lambda: plan({"value": x}, data))
+        return Signal(op="field", params=(name,))
+
+    whole = frozenset().union(*map(of, signals.values()))
+    out = {name: brought(x, whole) for name, x in signals.items()}
+    return out, LazyData({**data.sources, **frames})
+
+
 def _recent(panel: DataFrame, start, back: int) -> DataFrame:
     """Without what lies over `back` dates before start; the filter reaches the scan."""
     first = panel.select("date").where(F.col("date") < F.lit(start).cast("date")).distinct().orderBy(F.desc("date")).limit(back).agg(F.min("date")).first()[0]
@@ -177,10 +213,10 @@ def evaluate(x: Signal, data) -> DataFrame:
     context = get_context()
     key = (x.cache_key(), id(data))
     if context and key in context.frames:
-        return context.frames[key]
+        return context.frames[key][1]
     out = plan({"value": x}, data)
     if context:
-        context.frames[key] = out
+        context.frames[key] = (data, out)
     return out
 
 

@@ -21,8 +21,10 @@ def densify(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
     The calendar is one array: dates are few, and no join of all with all is needed.
     """
-    calendar = df.agg(F.array_sort(F.collect_set("date")).alias("dates"))
-    grid = df.select("ticker").distinct().crossJoin(F.broadcast(calendar)).select("ticker", F.explode("dates").alias("date"))
+    # calendar and tickers come from one aggregate of the same columns, so that Spark reads df once for both
+    own = df.groupBy("ticker").agg(F.collect_set("date").alias("own")).where(F.size("own") > 0)
+    calendar = own.select(F.explode("own").alias("date")).agg(F.array_sort(F.collect_set("date")).alias("dates"))
+    grid = own.crossJoin(F.broadcast(calendar)).select("ticker", F.explode("dates").alias("date"))
     dealt = grid.repartition(partitions, "ticker") if partitions else grid.repartition("ticker")
     return dealt.join(df, ["ticker", "date"], "left").select("date", "ticker", *[c for c in df.columns if c not in ("date", "ticker")])
 
@@ -63,22 +65,25 @@ def _cents() -> Column:
 
 
 def _quantity() -> Column:
-    return F.col("l_quantity").cast("long")
+    """Hundredths of a piece."""
+    return F.round(F.col("l_quantity") * 100).cast("long")
 
 
 def _price(cents: Column, quantity: Column) -> Column:
-    """Whole cents a piece, rounded down: integers until the last division, so all engines agree to the bit."""
-    return (cents - cents % quantity) / quantity / F.lit(100.0)
+    """Whole cents a piece, rounded down: integers until the last division, so all engines agree to the bit. Nothing for
+    no pieces."""
+    pieces = F.when(quantity != 0, quantity)
+    return (cents * 100 - (cents * 100) % pieces) / pieces / F.lit(100.0)
 
 
 def supplier_panel(spark, sf_dir: str, grain: str = "week") -> DataFrame:
     """Prices and volumes of suppliers' line items by week or month, with the supplier's region and nation."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    items = read("lineitem").where("l_quantity >= 1").select("l_shipdate", "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("ticker"), _cents().alias("cents"), _quantity().alias("quantity"))
+    items = read("lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("ticker"), _cents().alias("cents"), _quantity().alias("quantity"))
     items = items.withColumn("price", _price(F.col("cents"), F.col("quantity")))
     traded = items.groupBy(F.to_date(F.date_trunc(grain, "l_shipdate")).alias("date"), "ticker").agg(
         _price(F.sum("cents"), F.sum("quantity")).alias("close"),
-        F.sum("quantity").cast("double").alias("volume"),
+        (F.sum("quantity") / F.lit(100.0)).alias("volume"),
         F.min("price").alias("low"),
         F.max("price").alias("high"),
         F.min_by("price", F.struct("l_shipdate", "l_orderkey", "l_linenumber", "price")).alias("open"),
@@ -90,29 +95,29 @@ def supplier_panel(spark, sf_dir: str, grain: str = "week") -> DataFrame:
 
 
 def _sprice(cents: str, quantity: str) -> str:
-    return f"((({cents}) - ({cents}) % ({quantity}))::DOUBLE / ({quantity})::DOUBLE / 100.0::DOUBLE)"
+    return f"((({cents}) * 100 - (({cents}) * 100) % nullif({quantity}, 0))::DOUBLE / nullif({quantity}, 0)::DOUBLE / 100.0::DOUBLE)"
 
 
-_CENTS, _QUANTITY = "round(l_extendedprice * 100)::BIGINT", "l_quantity::BIGINT"
+_CENTS, _QUANTITY = "round(l_extendedprice * 100)::BIGINT", "round(l_quantity * 100)::BIGINT"
 
 
 def supplier_panel_sql(grain: str = "week") -> str:
     """The same in DuckDB's SQL."""
     return f"""SELECT d.date, t.ticker, close, volume, low, high, open, CASE WHEN volume > 60 THEN volume / 10 END AS event, r_name AS sector, n_name AS nation
 FROM (SELECT DISTINCT date_trunc('{grain}', l_shipdate)::DATE AS date FROM lineitem) d CROSS JOIN (SELECT DISTINCT l_suppkey::VARCHAR AS ticker FROM lineitem) t
-LEFT JOIN (SELECT date, ticker, {_sprice('sum(cents)', 'sum(quantity)')} AS close, sum(quantity)::DOUBLE AS volume, min(price) AS low, max(price) AS high, arg_min(price, {{'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': price}}) AS open
-  FROM (SELECT *, date_trunc('{grain}', l_shipdate)::DATE AS date, l_suppkey::VARCHAR AS ticker, {_CENTS} AS cents, {_QUANTITY} AS quantity, {_sprice(_CENTS, _QUANTITY)} AS price FROM lineitem WHERE l_quantity >= 1) GROUP BY date, ticker) x ON x.date = d.date AND x.ticker = t.ticker
+LEFT JOIN (SELECT date, ticker, {_sprice('sum(cents)', 'sum(quantity)')} AS close, (sum(quantity)::DOUBLE / 100.0::DOUBLE) AS volume, min(price) AS low, max(price) AS high, arg_min(price, {{'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': price}}) AS open
+  FROM (SELECT *, date_trunc('{grain}', l_shipdate)::DATE AS date, l_suppkey::VARCHAR AS ticker, {_CENTS} AS cents, {_QUANTITY} AS quantity, {_sprice(_CENTS, _QUANTITY)} AS price FROM lineitem) GROUP BY date, ticker) x ON x.date = d.date AND x.ticker = t.ticker
 LEFT JOIN supplier ON s_suppkey::VARCHAR = t.ticker LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey"""
 
 
 def brand_panel(spark, sf_dir: str, grain: str = "month") -> DataFrame:
     """Prices and volumes of brands' line items, near dense and smoother than a supplier's."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    sold = read("lineitem").where("l_quantity >= 1").join(read("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    traded = sold.groupBy(F.to_date(F.date_trunc(grain, "l_shipdate")).alias("date"), F.col("p_brand").alias("ticker")).agg(_price(F.sum(_cents()), F.sum(_quantity())).alias("close"), F.sum(_quantity()).cast("double").alias("volume"))
+    sold = read("lineitem").join(read("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    traded = sold.groupBy(F.to_date(F.date_trunc(grain, "l_shipdate")).alias("date"), F.col("p_brand").alias("ticker")).agg(_price(F.sum(_cents()), F.sum(_quantity())).alias("close"), (F.sum(_quantity()) / F.lit(100.0)).alias("volume"))
     return densify(traded)
 
 
 def brand_panel_sql(grain: str = "month") -> str:
     return f"""SELECT d.date, t.ticker, close, volume FROM (SELECT DISTINCT date_trunc('{grain}', l_shipdate)::DATE AS date FROM lineitem) d CROSS JOIN (SELECT DISTINCT p_brand AS ticker FROM lineitem JOIN part ON l_partkey = p_partkey) t
-LEFT JOIN (SELECT date_trunc('{grain}', l_shipdate)::DATE AS date, p_brand AS ticker, {_sprice(f'sum({_CENTS})', f'sum({_QUANTITY})')} AS close, sum({_QUANTITY})::DOUBLE AS volume FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 1 GROUP BY 1, 2) x ON x.date = d.date AND x.ticker = t.ticker"""
+LEFT JOIN (SELECT date_trunc('{grain}', l_shipdate)::DATE AS date, p_brand AS ticker, {_sprice(f'sum({_CENTS})', f'sum({_QUANTITY})')} AS close, (sum({_QUANTITY})::DOUBLE / 100.0::DOUBLE) AS volume FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) x ON x.date = d.date AND x.ticker = t.ticker"""

@@ -238,3 +238,39 @@ def test_densify_and_duplicates(spark):
     with pytest.raises(ValueError):
         check_unique(df.unionByName(df))
     assert densify(df.limit(0)).count() == 0
+
+
+def _field(spark, rows):
+    return spark.createDataFrame([(pd.Timestamp(d).date(), t, v) for d, t, v in rows], "date date, ticker string, value double")
+
+
+def test_fields_keep_their_own_calendars(spark):
+    close = _field(spark, [(f"2024-01-0{d}", t, float(d * k)) for d in (1, 3, 5) for k, t in ((1, "a"), (2, "b"))])
+    other = _field(spark, [(f"2024-01-0{d}", "a", 7.0) for d in (2, 3, 4)])
+    for x, op in (("ts_mean(close(), 2) + 0 * is_valid(field('x'))", "+"), ("ts_mean(close(), 2) * field('x')", "*")):
+        got = alpha(x).evaluate({"close": close, "x": other}).toPandas()
+        wide = got.pivot(index="date", columns="ticker", values="value")
+        c = pd.DataFrame({"a": [1.0, 3, 5], "b": [2.0, 6, 10]}, index=[pd.Timestamp(f"2024-01-0{d}").date() for d in (1, 3, 5)]).rolling(2).mean()
+        f7 = pd.DataFrame({"a": [7.0] * 3}, index=[pd.Timestamp(f"2024-01-0{d}").date() for d in (2, 3, 4)])
+        want = c + 0 * f7.notna().reindex(index=c.index.union(f7.index), columns=c.columns).astype(float) if op == "+" else c * f7
+        pd.testing.assert_frame_equal(wide[["a"]].astype(float), want.reindex(index=wide.index)[["a"]], check_names=False, check_index_type=False)
+
+
+def test_groups_have_their_last_labels(spark):
+    close = _field(spark, [(f"2024-01-0{d}", t, float(d + k)) for d in (1, 2, 3, 4) for k, t in enumerate("abc")])
+    groups = spark.createDataFrame([(pd.Timestamp(f"2024-01-0{d}").date(), t, g) for d, gs in ((1, "xxy"), (2, "xyy")) for t, g in zip("abc", gs)], "date date, ticker string, value string")
+    got = alpha("group_rank(close(), 'g')").evaluate({"close": close, "g": groups}).toPandas().pivot(index="date", columns="ticker", values="value")
+    assert got.to_numpy().tolist() == [[0.5, 1.0, 1.0], [1.0, 0.5, 1.0], [1.0, 0.5, 1.0], [1.0, 0.5, 1.0]]
+
+
+def test_exponential_weights_without_cancellation(spark):
+    x = 1e6 + 1e-3 * np.random.default_rng(4).standard_normal(500)
+    df = spark.createDataFrame([(d.date(), "a", float(v)) for d, v in zip(pd.date_range("2020-01-01", periods=500), x)], "date date, ticker string, close double")
+    got = plan({"v": alpha("ewma_var(close(), 30)"), "m": alpha("ewma(close(), 30)")}, df).orderBy("date").toPandas()
+    np.testing.assert_allclose(got.v[5:], pd.Series(x - x[0]).ewm(halflife=30).var()[5:], rtol=1e-6)
+    np.testing.assert_allclose(got.m, pd.Series(x).ewm(halflife=30).mean(), rtol=1e-12)
+
+
+def test_returns_of_another_price(panel):
+    got = plan({"a": alpha("returns(2, 'volume')"), "b": alpha("volatility(3, 'volume')")}, panel).toPandas()
+    assert got.a.notna().any() and got.b.notna().any()
