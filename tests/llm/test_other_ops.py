@@ -96,13 +96,14 @@ def test_language_id_small_languages(spark):
     small = [(1000 + k, f"éé{word(k)}", "bb") for k in range(5)]
     schema = "doc_id long, text string, lang string"
     model = language_id.fit(spark.createDataFrame([*hot, *small], schema))
-    assert len(model.at[0]) == 200_005 and model.languages == ["aa", "bb"]
-    rare = {g for r in small for n in range(1, 5) for g in language_id.grams(r[1], n)}
-    assert rare <= set().union(*model.at[1:])
+    words = lambda rows: {language_id.name_of(w, 0) for r in rows for w in r[1].split()}
+    known = set(model.names.tolist())
+    assert len(words([*hot, *small])) == 200_005 and words([*hot, *small]) <= known and model.languages == ["aa", "bb"]
+    assert {language_id.name_of(g, n) for r in small for n in range(1, 5) for g in language_id.grams(r[1], n)} <= known
     many = [(k, f"x{word(k)}", "aa") for k in range(400)]
     model = language_id.fit(spark.createDataFrame([*many, *small], schema), fit_docs=40)
-    known = set(model.at[0])
-    assert {r[1] for r in small} <= known and 15 < len(known) < 65
+    known = set(model.names.tolist())
+    assert words(small) <= known and 10 < len(words(many) & known) < 60
     assert language_id.shares({"a": 100, "b": 3, "c": 30}, 43) == {"b": 3, "c": 20, "a": 20}
 
 
@@ -125,15 +126,57 @@ def test_html(page, want):
     assert want is None or got == want
 
 
+ARTICLE = "<h1>T</h1><p>Some words of text here.</p><p>More of the same words.</p>"
+TEXT = "T\nSome words of text here.\nMore of the same words."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article class="post has-sidebar">{ARTICLE}</article>', TEXT),
+        (f'<div class="has-sidebar">{ARTICLE}</div><div class="sidebar-right">buy it now</div>', TEXT),
+        (f'<article>{ARTICLE}<section id="legal-history"><p>law of old</p></section><p class="share-price">up by two</p><h2 id="search">Search</h2></article>', TEXT + "\nlaw of old\nup by two\nSearch"),
+        (f'<article>{ARTICLE}<div class="comments"><p>nice one</p></div><aside>no</aside></article><footer>no</footer>', TEXT),
+        (f"<body><div>{ARTICLE}<ul><li>one item</ul></div></body>", TEXT + "\none item"),
+        (f"<ul><li><a href=1>home</a></li><li><a href=2>news</a></li></ul>{ARTICLE}", TEXT),
+    ],
+)
+def test_html_by_learned_weights(page, want):
+    assert html_text.extract(page) == want
+    weights = html_text.own_weights()
+    assert html_text.extract(page, {k: -v for k, v in weights.items()}) != want  # the weights decide
+
+
+def test_html_held_out():
+    pages = list(html_text.own_pages())
+    weights = html_text.fit(x for k, x in enumerate(pages) if k % 5)
+    held = pages[::5]
+    assert sum(html_text.extract(p, weights) == t for p, t in held) >= 0.9 * len(held)
+    # names of EITHER stand on both sides, so some pages cannot be told
+    assert sum(html_text.extract(p) == t for p, t in pages) >= 0.95 * len(pages)
+
+
+def test_html_long_pages():
+    """Time is linear: each of these took minutes when it was quadratic."""
+    import time
+
+    for x in ("<a " * 300_000, '<a "' * 300_000, "<div>" * 60_000, "<ul><li>" * 40_000, "<" * 300_000 + ">", '<p "' * 200_000 + ">", "<li><div>" * 40_000):
+        began = time.process_time()
+        html_text.extract(x)
+        assert time.process_time() - began < 20
+
+
 def test_html_operator(spark):
-    for page, text in html_text._labelled():
-        assert html_text.extract(page) == text
     df = spark.createDataFrame([(1, "u", "<p>a", "clash"), (1, "u", "<p>a", "clash"), (None, None, None, "c")], "page_id long, url string, html string, text string")
     got = html_text.extract_pages(df)
     assert sorted((r.n_chars for r in got.collect())) == [0, 1, 1] and html_text.extract_pages(df.limit(0)).count() == 0
-    w = html_text.fit(html_text._labelled())
-    assert w[html_text.WORD] > 0 > max(v for k, v in w.items() if k != html_text.WORD)
+    w = html_text.own_weights()
+    assert w["score of word"] > 0 > max(v for k, v in w.items() if k.startswith("score of ") and k != "score of word")
     assert html_text.best_region([-1, 2, -1, 3, -5, 3]) == (1, 4) and html_text.best_region([-1]) == (0, 0)
+    for _ in range(200):
+        scores = [random.randrange(-5, 6) for _ in range(random.randrange(1, 12))]
+        low, high = html_text.best_region(scores)
+        assert sum(scores[low:high]) == max(0, *[sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)])
 
 
 def test_registry_names():
