@@ -1,6 +1,7 @@
 """Native operators, language ID, HTML extraction, the registry and the pipeline."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +198,92 @@ def test_pipeline(spark):
     assert ids <= set(first.values()) and len(ids) > 0.8 * len(first)
     leaks = {r.doc_id for r in decontaminate.matches(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("size(items) > 0").collect()}
     assert leaks and not leaks & ids
+
+
+def plain_languages(rows):
+    """Language and score as the module says, word by word."""
+    import math
+    from collections import Counter
+    from zlib import crc32
+
+    learnt = [r for r in rows if r[2] is not None and not (r[0] is not None and crc32(str(r[0]).encode()) % 5 == 0)]
+    names = sorted({r[2] for r in learnt})
+    counts = {n: {x: Counter() for x in names} for n in range(5)}
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    cut = lambda w, n: [w] if n == 0 else [(f"_{w}_" if n > 1 else w)[k : k + n] for k in range(len(w) + 2 * (n > 1) - n + 1)]
+    for _, t, x, *_ in learnt:
+        for w in split(t):
+            for n in range(5):
+                counts[n][x].update(cut(w, n))
+    every = {n: set().union(*counts[n].values()) for n in counts}
+    vote = lambda g, n: [math.log((counts[n][x][g] + 0.5) / (counts[n][x].total() + 0.5 * len(every[n]))) for x in names]
+    out = []
+    for r in rows:
+        total, words = [0.0] * len(names), split(r[1])
+        for w in words:
+            for n in (0, 4, 3, 2, 1):
+                if known := [g for g in cut(w, n) if g in every[n]]:
+                    votes = [vote(g, n) for g in known]
+                    total = [a + sum(v[k] for v in votes) / len(votes) for k, a in enumerate(total)]
+                    break
+        mean = [x / len(words) * min(len(words), 20) for x in total] if words else []
+        p = [math.exp(x - max(mean)) for x in mean]
+        out.append((names[p.index(max(p))], max(p) / sum(p)) if words else ("und", 0.0))
+    return out, len(names)
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from test_core_ops import brute_benchmark, brute_components, brute_pii
+
+    vocabulary = {"aa": [f"{c}{d}a" for c in "bcdfg" for d in "aeiou"], "bb": [f"{c}{d}z" for c in "klmnp" for d in "aeiou"]}
+    some = lambda x, n: " ".join(random.choice(vocabulary[x]) for _ in range(n))
+    rows = [(k, some(x, random.randrange(6, 60)), x) for k in range(60) for x in [random.choice(["aa", "bb"])]]
+    rows += [(100 + k, rows[k][1], rows[k][2]) for k in range(6)] + [(110 + k, rows[k][1] + " extra", None) for k in range(6)]
+    items = [(1, some("aa", 12)), (2, some("bb", 3))]
+    rows += [(130, some("aa", 9) + " " + items[0][1], "aa"), (131, f"call me@ex.org or 10.1.2.3 {some('bb', 20)}", None), (132, None, None), (133, "12 34", "bb"), (134, "", None), (135, "日本", None)]
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    said, n = plain_languages(rows)
+    left = [r for r, (x, p) in zip(rows, said, strict=True) if x != "und" and p * n >= 1.2]
+    groups = brute_components([r[:2] for r in left], 5, 80)
+    left = [r for r in left if groups[r[0]][1] == r[0]]
+    leaks = {r[0] for r in brute_benchmark([r[:2] for r in left], items) if r[3]}
+    left = [r for r in left if r[0] not in leaks]
+    enc, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for d, t, _ in left:
+        for kind, s, e in sorted(((k, s, e) for k, found in enumerate(brute_pii(t)) for s, e in found), key=lambda x: -x[1]):
+            t = t[:s] + ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]")[kind] + t[e:]
+        ids, at = [*enc.encode(t, add_special_tokens=False).ids, 2], 0
+        for size in [4096] * (len(ids) // 4096) + [1 << k for k in range(11, -1, -1) if len(ids) % 4096 >> k & 1]:
+            want.append((d, at, size, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[at : at + size])), len(ids), 0))
+            at += size
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.offset) for r in got) == sorted(want)
+    assert len({r.sequence_id for r in got}) == len(got) and {131} < {r.doc_id for r in got} and not {130, 132, 133, 134} & {r.doc_id for r in got}
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Empty tables, no labels, nulls everywhere, repeated rows, and columns with the names that operators use."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, row int, found string, base int, spans int, key string, k0 int, hits string, component_id long"
+    rest = (None, 1, 0.5, "x", 777, "f", 5, 6, "k", 8, "h", 9)
+    odd = [(1, "call me@ex.org now", None, *rest), (1, "call me@ex.org now", None, *rest), (None, "no id here", None, *rest), (3, None, None, *(None,) * 12), (4, "", None, *rest), (5, "word " * 50_000, None, *rest)]
+    for rows in (odd, []):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns
+            mine = out.collect()
+            assert all(tuple(r)[4:] in {x[4:] for x in rows} for r in mine if "[EMAIL]" not in (r.text or "")) and all(r.row == 777 for r in mine if r.text)
+            if rows:
+                assert len(mine) == (4 if stage is corpus_pipeline.known_language else 6), stage
+        assert corpus_pipeline.packed(spark, docs, SF).count() >= len(rows)
