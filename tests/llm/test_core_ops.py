@@ -117,6 +117,45 @@ def test_near_dups_of_repeated_ids(spark, cell):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((k, want[k]) for k, _ in docs)
 
 
+def test_near_dups_crowds(spark):
+    """Documents that share most of their words: regions that are cut, extra trees, thickets of many cells."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [base + text(random.choice([8, 14, 20]), 3000).split() for _ in range(120)]
+    for _ in range(50):
+        t = list(random.choice(rows[:120]))
+        t[random.randrange(len(t))] = "x"
+        rows.append(t)
+    docs = [(k, " ".join(t)) for k, t in enumerate(rows)]
+    want = {d: v[1] for d, v in brute_components(docs, 3, 85).items()}
+    got = near_dups.near_components(corpus(spark, docs), cell=4, crowd=8).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_near_dups_recall(spark):
+    """All 10,000 documents of sf0.1 against an exact join by prefixes of the sets, rarest items first."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: near_dups.shingles(r.text or "", 3) for r in docs.collect()}
+    count, first, near = {}, {}, []
+    for h in np.concatenate(list(sets.values())).tolist():
+        count[h] = count.get(h, 0) + 1
+    for d, s in sets.items():
+        ordered, met = sorted(s.tolist(), key=lambda h: (count[h], h)), set()
+        for h in ordered[: len(s) - (-(-len(s) * 85 // 100)) + 1 if len(s) else 0]:
+            met |= set(first.get(h, ()))
+            first.setdefault(h, []).append(d)
+        near += [(d, e) for e in met if near_dups.linked(s, sets[e])]
+    group = {r.doc_id: r.component_id for r in near_dups.near_components(docs).collect()}
+    assert len(near) > 100 and sum(group[a] == group[b] for a, b in near) >= 0.99 * len(near)
+
+
+def test_leaves():
+    lcp = np.array([-1, 4, 16, 16, 7, 4, 4, 5, 2, 9])
+    assert near_dups.leaves(lcp, 4, 100)[0] == [(0, 8), (8, 10)]
+    found, cut = near_dups.leaves(np.array([-1, *[4] * 20, 6, 6, 4, 4]), 4, 8)
+    assert found == [(20, 23)] and cut.all()
+    assert near_dups.leaves(np.array([-1, *[16] * 20, 4, 4]), 4, 8)[0] == [(0, 23)]  # a crowd of copies
+
+
 def brute_benchmark(docs, items):
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     out = []
@@ -164,6 +203,9 @@ def test_fingerprints(spark):
     a, b = fingerprint.fingerprint(LONG), fingerprint.fingerprint(LONG[: len(LONG) // 2])
     assert abs(fingerprint.likeness(a, b) - 0.5) < 0.15 and np.array_equal(a, fingerprint.unpacked(fingerprint.packed(a)))
     assert fingerprint.fingerprints(corpus(spark, docs).limit(0)).count() == 0
+    words = [fingerprint.fingerprint(" ".join(f"q{k}x{j}" for j in range(k % 5 + 1))) for k in range(250)]
+    unlike = [fingerprint.likeness(a, b) for k, a in enumerate(words) for b in words[:k]]
+    assert max(unlike) < 0.2 and sum(unlike) / len(unlike) < 0.02  # short texts agree by chance no more than long ones
     one = fingerprint.fingerprints(corpus(spark, [(1, "just one")])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
@@ -235,3 +277,26 @@ def test_packing(spark):
             assert b"".join(bytes(r.ids) for r in rows) == want.tobytes(), t[:50]
             assert zlib.crc32(want.tobytes()) == zlib.crc32(b"".join(bytes(r.ids) for r in rows))
     assert packing.lengths(4096 * 2 + 13) == [4096, 4096, 8, 4, 1] and packing.pack(corpus(spark, docs).limit(0), path).count() == 0
+
+
+def test_pii_redaction_keeps_other_columns(spark):
+    schema = "row int, doc_id int, text string, found int, base double, spans string, more string, `a.b` string, n_chars int"
+    rows = [(777, 1, "call john@ex.org now", 2, 3.5, "x", "y", "z", 20), (778, 1, None, None, None, None, None, None, None), (779, 2, "token 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", 0, 0.0, "", "", "", 46)]
+    out = sorted(map(tuple, pii.redact(spark.createDataFrame(rows, schema)).collect()))
+    assert out == [(777, 1, "call [EMAIL] now", 2, 3.5, "x", "y", "z", 16), rows[1], (779, 2, "token [SECRET]", 0, 0.0, "", "", "", 14)]
+
+
+def test_pii_finds_unseen_keys(spark):
+    keys = [(k, f'so token = "{random.getrandbits(160) | 0xABC << 148:040x}" then') for k in range(8)]
+    docs = [*keys, (50, 'so token = "Zx93-44k1" then'), (51, "Zx93-44k1 opens this"), (52, "page 20240101 of it")]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(corpus(spark, docs), ["doc_id"]).collect()}
+    assert found[50] == [(4, 12, 21)] and found[51] == [(4, 0, 9)] and found[52] == [] and all(found[k] for k in range(8))
+    assert sum(len(x.spans) for x in pii.find(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ["doc_id"]).collect()) > 82
+
+
+def test_decontamination_places(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "x y")], "n long, said string")
+    docs = corpus(spark, [(1, "z a b c d e f g h i, then A B C D E F G H I J"), (2, "x y"), (3, "a b c d e f g")])
+    got = {r.doc_id: r for r in decontaminate.matches(docs, items, item_col="n", item_text_col="said").collect()}
+    assert [tuple(x) for x in got[1].found] == [("1", 10, 11)] and got[1].longest == 10
+    assert [tuple(x) for x in got[2].found] == [("2", 2, 0)] and not got[3].found
