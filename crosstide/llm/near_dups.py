@@ -17,8 +17,9 @@ Thickets are settled on whole sets in cells of CELL documents at most (about; fe
 A cell compares signatures, then the sets of the likely pairs that aren't yet connected. Larger thickets are cut into
 several cells, each of which sends on SAMPLE documents per component of two or more; samples are settled likewise,
 until one cell holds them or they get no fewer. Then every document outside its thicket's largest component is held
-against the other cells, in a thicket of more than 64 cells against those in which it shares a leaf with some document
-(it has 64 leaves at most): by signatures first, and with whole sets only the documents of likely pairs.
+against cells that are WIDER times as large, in a thicket of more than 64 of these against those in which it shares a
+leaf with some document (it has 64 leaves at most): by signatures first, and with whole sets only the documents of
+likely pairs. In a crowd of n that are likely, but not linked, that is the n * n / 512 rows of an exact answer.
 
 Likely: signatures agree in 16 values fewer than the threshold's share of 64, or in more; a linked pair has fewer
 with probability 3e-7 at 0.85 and 7e-7 at 0.8.
@@ -46,6 +47,8 @@ WIDTH, PERCENT = 3, 85
 VALUES, TREES, DEPTH, EXTRA = 64, 16, 16, 48
 #: Documents of a leaf; of a cell, and bytes of their hashes; documents that a component sends on.
 CROWD, CELL, CELL_BYTES, SAMPLE = 2048, 128, 16 << 20, 16
+#: Times the documents of a cell that a cell has where documents are held against those of others.
+WIDER = 4
 #: Documents with sets to make that are broadcast at most; some 300 bytes each.
 FEW = 1 << 16
 
@@ -370,8 +373,10 @@ def _likely(percent: int):
 
 
 def _leftover(large: DataFrame, label: DataFrame, grown: DataFrame, sets: DataFrame, percent: int, cell: int) -> DataFrame:
-    """Links (a, b) across the cells of thickets: every document outside a thicket's main component against the cells but its
-    own, of vast thickets only those in which it shares a leaf. large: (doc_id, thicket, cells, block), label: (node, component)."""
+    """Links (a, b) across the cells of thickets: every document outside a thicket's main component against the cells, which
+    are WIDER than before, of vast thickets only those in which it shares a leaf. large: (doc_id, thicket, n_shingles),
+    label: (node, component)."""
+    large = _cells(large.select("doc_id", "thicket", "n_shingles"), WIDER * cell)
     rows = large.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = written(rows.select("doc_id", "thicket", "cells", F.col("block").cast("long").alias("block"), "component"), "large")
     sizes = rows.groupBy("thicket", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -380,15 +385,15 @@ def _leftover(large: DataFrame, label: DataFrame, grown: DataFrame, sets: DataFr
     minor = rows.where("component <> main").select("doc_id", "thicket", "block", "component", "cells")
     #: A document has TREES + EXTRA leaves at most; a thicket of no more cells is looked through without them.
     small = minor.where(F.col("cells") <= TREES + EXTRA).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells").cast("long") - 1)))
-    guests = small.where("other <> block").select("doc_id", "thicket", F.col("other").alias("block"), "component")
+    guests = small.select("doc_id", "thicket", F.col("other").alias("block"), "component")
     vast = rows.where(F.col("cells") > TREES + EXTRA)
     if not vast.isEmpty():
         in_leaf = written(grown.where("leaf is not null").join(vast, "doc_id").select("leaf", "doc_id", "thicket", "block", "component", "main"), "in_leaf")
         blocks = in_leaf.select("leaf", F.col("block").alias("other")).distinct()
-        met = in_leaf.where("component <> main").join(blocks, "leaf").where("other <> block")
+        met = in_leaf.where("component <> main").join(blocks, "leaf")
         guests = guests.unionByName(met.select("doc_id", "thicket", F.col("other").alias("block"), "component").distinct())
     guests = written(guests, "guests")
-    shares = guests.groupBy("thicket", "block").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("shares"))
+    shares = guests.groupBy("thicket", "block").agg(F.ceil(F.count(F.lit(1)) / (WIDER * cell)).cast("int").alias("shares"))
     dealt = guests.join(shares, ["thicket", "block"]).withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit("share")), F.col("shares")).cast("int"))
     hosts = rows.join(shares, ["thicket", "block"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     names = ["doc_id", "thicket", "block", "share", "component"]
