@@ -283,7 +283,7 @@ def _specific(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pruned(spark: SparkSession, d: str) -> DataFrame:
-    """The last year only: earlier rows beyond the reach of the signal are never read."""
+    """The last year only: earlier rows beyond the reach of the signal don't reach its windows."""
     return plan({"value": alpha("rank(ts_mean(volume(1), 4))")}, supplier_panel(spark, d, MONTH), start="1998-01-01").select("date", "ticker", rounded("value"))
 
 

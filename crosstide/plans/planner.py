@@ -174,7 +174,7 @@ def _on_one_calendar(signals: dict[str, Signal], data) -> tuple[dict[str, Signal
 
 
 def _recent(panel: DataFrame, start, back: int) -> DataFrame:
-    """Without what lies over `back` dates before start; the filter reaches the scan."""
+    """Without what lies over `back` dates before start: windows don't see it, though the panel below is made of all dates."""
     first = panel.select("date").where(F.col("date") < F.lit(start).cast("date")).distinct().orderBy(F.desc("date")).limit(back).agg(F.min("date")).first()[0]
     return panel.where(F.col("date") >= (F.lit(start).cast("date") if first is None else F.lit(first)))
 
