@@ -15,8 +15,9 @@ from crosstide.operators import metrics
 from crosstide.operators.backtest import Backtest, forward_returns
 from crosstide.operators.quantile import QuantileAnalysis, coefficients, returns_by_bucket
 from crosstide.operators.risk import FactorDefinition, FactorRiskModel
-from crosstide.plans.parser import alpha
+from crosstide.plans.parser import alpha, compute_weights
 from crosstide.plans.planner import plan, to_sql
+from crosstide.sources.catalog import LazyData
 from crosstide.sources.panels import asof_fill, brand_panel, brand_panel_sql, from_wide, ratio, supplier_panel, supplier_panel_sql, to_wide
 
 WEEK, MONTH = "week", "month"
@@ -287,11 +288,132 @@ def _pruned(spark: SparkSession, d: str) -> DataFrame:
     return plan({"value": alpha("rank(ts_mean(volume(1), 4))")}, supplier_panel(spark, d, MONTH), start="1998-01-01").select("date", "ticker", rounded("value"))
 
 
+def _bucket_result(spark: SparkSession, d: str):
+    return QuantileAnalysis(alpha("close() / delay(close(), 1)"), 5).run(supplier_panel(spark, d, MONTH))
+
+
+def _bucket_stats(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each bucket: the five figures come from the driver's result."""
+    r = _bucket_result(spark, d)
+    rows = [(k, r.mean_returns[k], r.sharpe_by_quantile[k], r.hit_rate[k]) for k in sorted(r.mean_returns)]
+    out = spark.createDataFrame(rows, "bucket long, mean double, sharpe double, hit double")
+    return out.select("bucket", rounded("mean"), rounded("sharpe", 4), rounded("hit"))
+
+
+def _bucket_spread(spark: SparkSession, d: str) -> DataFrame:
+    r = _bucket_result(spark, d)
+    out = r.spread_returns.withColumnRenamed("value", "spread").join(r.spread_cumulative.withColumnRenamed("value", "cumulative"), "date")
+    return out.select("date", rounded("spread"), rounded("cumulative", 4))
+
+
+def _bucket_summary(spark: SparkSession, d: str) -> DataFrame:
+    r = _bucket_result(spark, d)
+    row = (r.spread_mean, r.spread_sharpe, r.is_monotonic, r.rank_ic, r.n_days, r.n_stocks_per_day)
+    out = spark.createDataFrame([row], "mean double, sharpe double, monotonic boolean, rank_ic double, days long, stocks double")
+    return out.select(rounded("mean"), rounded("sharpe", 4), "monotonic", rounded("rank_ic"), "days", rounded("stocks", 4))
+
+
+_BUCKET_DAYS = f"""WITH v0 AS ({_SEEN_MONTH}),
+v1 AS (SELECT *, count(seen) OVER (PARTITION BY date) AS a, count(forward) OVER (PARTITION BY date) AS b FROM v0),
+v2 AS (SELECT * FROM v1 WHERE a > 0 AND b > 0),
+edges AS (SELECT date, quantile_cont(seen, [0.2, 0.4, 0.6, 0.8]) AS e FROM v2 GROUP BY date),
+v3 AS (SELECT v2.*, CASE WHEN seen IS NOT NULL THEN 1 + len(list_filter(e, lambda x: x < seen)) END AS bucket FROM v2 JOIN edges USING (date)),
+cells AS (SELECT date, bucket, avg(coalesce(forward, 0)) AS r FROM v3 WHERE bucket IS NOT NULL GROUP BY date, bucket),
+grid AS (SELECT g.date, g.k AS bucket, coalesce(c.r, 0) AS returns FROM (SELECT date, unnest([1, 2, 3, 4, 5]) AS k FROM (SELECT DISTINCT date FROM v2)) g LEFT JOIN cells c ON c.date = g.date AND c.bucket = g.k),
+spreads AS (SELECT date, sum(CASE bucket WHEN 5 THEN returns WHEN 1 THEN -returns ELSE 0 END) AS returns FROM grid GROUP BY date),
+stocks AS (SELECT date, count(seen) AS n FROM v2 GROUP BY date)"""
+
+_BUCKET_STATS_SQL = f"{_BUCKET_DAYS} SELECT bucket::BIGINT AS bucket, round(avg(returns), 6) + 0.0 AS mean, round({_SHARPE}, 4) + 0.0 AS sharpe, round(avg((returns > 0)::INT), 6) + 0.0 AS hit FROM grid GROUP BY bucket"
+_BUCKET_SPREAD_SQL = f"{_BUCKET_DAYS} SELECT date, round(returns, 6) + 0.0 AS spread, round(product(1 + returns) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS cumulative FROM spreads"
+_BUCKET_SUMMARY_SQL = f"""{_BUCKET_DAYS},
+means AS (SELECT bucket, avg(returns) AS m FROM grid GROUP BY bucket),
+steps AS (SELECT m - lag(m) OVER (ORDER BY bucket) AS step FROM means),
+ic AS (SELECT avg(x) AS rank_ic FROM (SELECT covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS x FROM (SELECT date, {_average('seen')} AS a, {_average('forward')} AS b FROM v2 WHERE seen IS NOT NULL AND forward IS NOT NULL) GROUP BY date HAVING count(*) >= 5))
+SELECT round(avg(returns), 6) + 0.0 AS mean, round({_SHARPE}, 4) + 0.0 AS sharpe, (SELECT min(step) >= 0 OR max(step) <= 0 FROM steps) AS monotonic,
+round(coalesce((SELECT rank_ic FROM ic), 0), 6) + 0.0 AS rank_ic, count(*) AS days, round((SELECT avg(n) FROM stocks), 4) + 0.0 AS stocks FROM spreads"""
+
+ONE_FACTOR = [FactorDefinition("momentum", "rank(returns(13))")]
+
+
+def _one_factor(spark: SparkSession, d: str) -> FactorRiskModel:
+    return FactorRiskModel(ONE_FACTOR, include_industries=False).fit(supplier_panel(spark, d), lookback=None, min_observations=10)
+
+
+def _one_factor_returns(spark: SparkSession, d: str) -> DataFrame:
+    r = _one_factor(spark, d).results_
+    return r.factor_returns.join(r.r_squared, "date").select("date", rounded("momentum"), rounded("market"), rounded("value").alias("r_squared"))
+
+
+def _one_factor_specific(spark: SparkSession, d: str) -> DataFrame:
+    return _one_factor(spark, d).specific_risk.select("ticker", rounded("value", 4))
+
+
+def _one_factor_covariance(spark: SparkSession, d: str) -> DataFrame:
+    c = _one_factor(spark, d).factor_covariance
+    rows = [(a, b, float(c.loc[a, b])) for a in c.index for b in c.columns]
+    return spark.createDataFrame(rows, "a string, b string, value double").select("a", "b", rounded("value"))
+
+
+def _one_factor_portfolio(spark: SparkSession, d: str) -> DataFrame:
+    """The last day's momentum less a half, as weights: its risk, and what momentum adds to the factor variance."""
+    model = _one_factor(spark, d)
+    weights = model.results_.factor_exposures.select("ticker", (F.col("momentum") - 0.5).alias("value")).where("value is not null")
+    row = (*model.portfolio_risk(weights), model.factor_attribution(weights)["momentum"])
+    out = spark.createDataFrame([row], "total double, factor double, specific double, momentum double")
+    return out.select(*[rounded(c, 4) for c in out.columns])
+
+
+def _exposures(spark: SparkSession, d: str) -> DataFrame:
+    """The last date's exposures, industries among them, a row for each ticker and factor."""
+    x = FactorRiskModel(ONE_FACTOR).get_exposures(supplier_panel(spark, d))
+    return x.unpivot(["ticker"], [c for c in x.columns if c != "ticker"], "factor", "value").select("ticker", "factor", rounded("value"))
+
+
+_ONE_FACTOR = f"""WITH x AS ({to_sql({'r': alpha('returns(1)'), 'm': alpha('rank(returns(13))')}, supplier_panel_sql())}),
+fitted AS (SELECT date, regr_slope(r, m) AS momentum, regr_intercept(r, m) AS market, regr_r2(r, m) AS r_squared FROM x WHERE isfinite(r) AND isfinite(m) GROUP BY date HAVING count(*) >= 10),
+aged AS (SELECT *, pow(2.0, -(row_number() OVER (ORDER BY date DESC) - 1) / 63.0) AS w FROM fitted),
+weighted AS (SELECT *, sqrt(w / sum(w) OVER ()) AS share FROM aged),
+cov AS (SELECT covar_samp(momentum * share, momentum * share) * 252 AS mm, covar_samp(momentum * share, market * share) * 252 AS mk, covar_samp(market * share, market * share) * 252 AS kk FROM weighted),
+spec AS (SELECT ticker, var_samp((r - market - momentum * m) * share) * 252 AS value FROM x JOIN weighted USING (date) GROUP BY ticker),
+held AS (SELECT ticker, m, m - 0.5 AS weight FROM x WHERE date = (SELECT max(date) FROM x) AND m IS NOT NULL)"""
+
+_RISK_SQL = {
+    "risk_one_factor": f"{_ONE_FACTOR} SELECT date, {srounded('momentum')}, {srounded('market')}, {srounded('r_squared')} FROM fitted",
+    "risk_one_specific": f"{_ONE_FACTOR} SELECT ticker, round(sqrt(value), 4) + 0.0 AS value FROM spec",
+    "risk_one_covariance": f"{_ONE_FACTOR} SELECT a, b, round(v, 6) + 0.0 AS value FROM cov, LATERAL (VALUES ('momentum', 'momentum', mm), ('momentum', 'market', mk), ('market', 'momentum', mk), ('market', 'market', kk)) t(a, b, v)",
+    "risk_portfolio": f"""{_ONE_FACTOR}, f AS (SELECT pow(sum(weight * m), 2) * (SELECT mm FROM cov) AS factor FROM held),
+s AS (SELECT sum(weight * weight * v) AS specific FROM (SELECT weight, coalesce(value, avg(value) OVER ()) AS v FROM held JOIN spec USING (ticker)))
+SELECT round(sqrt(factor + specific), 4) + 0.0 AS total, round(sqrt(factor), 4) + 0.0 AS factor, round(sqrt(specific), 4) + 0.0 AS specific, round(factor, 4) + 0.0 AS momentum FROM f, s""",
+    "risk_exposures": f"""WITH x AS ({to_sql({'m': alpha('rank(returns(13))')}, supplier_panel_sql())}), p AS ({supplier_panel_sql()}), last AS (SELECT * FROM x WHERE date = (SELECT max(date) FROM x))
+SELECT ticker, 'momentum' AS factor, round(m, 6) + 0.0 AS value FROM last
+UNION ALL SELECT last.ticker, 'ind_' || g.sector AS factor, coalesce(q.sector = g.sector, FALSE)::INT::DOUBLE AS value FROM last CROSS JOIN (SELECT DISTINCT sector FROM p WHERE sector IS NOT NULL) g JOIN p q ON q.ticker = last.ticker AND q.date = last.date""",
+}
+
+
+def _two_calendars(spark: SparkSession, d: str) -> DataFrame:
+    """Prices by month and volumes by quarter, each field on dates of its own: a mean of two quarters less the price."""
+    panel = supplier_panel(spark, d, MONTH)
+    quarters = panel.where(F.month("date") % 3 == 1)
+    data = {"close": panel.select("date", "ticker", F.col("close").alias("value")), "size": quarters.select("date", "ticker", F.col("volume").alias("value"))}
+    return plan({"value": alpha("ts_mean(field('size'), 2) - close()")}, LazyData(data)).select("date", "ticker", rounded("value"))
+
+
+_TWO_CALENDARS_SQL = f"""WITH p AS ({supplier_panel_sql(MONTH)}), q AS (SELECT date, ticker, volume FROM p WHERE month(date) % 3 = 1),
+m AS (SELECT date, ticker, CASE WHEN count(volume) OVER w = 2 THEN avg(volume) OVER w END AS size FROM q WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 1 PRECEDING))
+SELECT p.date, p.ticker, round(size - close, 6) + 0.0 AS value FROM p LEFT JOIN m ON m.date = p.date AND m.ticker = p.ticker"""
+
+
+def _weights_text(spark: SparkSession, d: str) -> DataFrame:
+    return compute_weights(MOMENTUM, supplier_panel(spark, d)).select("date", "ticker", rounded("value"))
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _signal(*x) for name, x in SIGNALS.items()}
     return out | {
         "forward_returns": _forward, "weights_long_short": _weights(False), "weights_long_only": _weights(True), "backtest_daily": _backtest(0.0), "backtest_cost": _backtest(0.001), "backtest_metrics": _metrics, "top_drawdowns": _drawdowns,
         "walk_forward": _walk_forward, "quantile_daily": _quantile_daily, "ic_daily": _ic_daily, "ic_summary": _ic_summary, "asof_fill": _asof, "derived_field": _derived, "wide_long": _wide_long, "risk_factor_returns": _risk, "risk_specific": _specific, "date_pruned": _pruned,
+        "quantile_stats": _bucket_stats, "quantile_spread": _bucket_spread, "quantile_summary": _bucket_summary, "risk_one_factor": _one_factor_returns, "risk_one_specific": _one_factor_specific, "risk_one_covariance": _one_factor_covariance,
+        "risk_portfolio": _one_factor_portfolio, "risk_exposures": _exposures, "two_calendars": _two_calendars, "compute_weights": _weights_text,
     }
 
 
@@ -302,4 +424,5 @@ def oracle_sql() -> dict[str, str]:
         "backtest_daily": _backtest_sql(0.0), "backtest_cost": _backtest_sql(0.001), "backtest_metrics": _METRICS_SQL, "top_drawdowns": _DRAWDOWNS_SQL, "walk_forward": _WALK_SQL, "quantile_daily": _QUANTILE_SQL, "ic_daily": _IC_SQL,
         "ic_summary": _IC_SUMMARY_SQL, "asof_fill": _ASOF_SQL, "derived_field": f"SELECT date, ticker, round(event / close, 6) AS value FROM ({supplier_panel_sql()})", "wide_long": f"SELECT date, ticker, close AS value FROM ({supplier_panel_sql(MONTH)})",
         "date_pruned": f"SELECT * FROM ({_signal_sql('rank(ts_mean(volume(1), 4))', MONTH, 6)}) WHERE date >= DATE '1998-01-01'",
+        "quantile_stats": _BUCKET_STATS_SQL, "quantile_spread": _BUCKET_SPREAD_SQL, "quantile_summary": _BUCKET_SUMMARY_SQL, **_RISK_SQL, "two_calendars": _TWO_CALENDARS_SQL, "compute_weights": _weights_sql(False),
     }

@@ -70,7 +70,7 @@ class FactorRiskModel:
                 x = alpha(f.expression)
                 panel_of(data, *fields_of(ordered([x])))
                 signals[f.name] = x
-            except Exception as error:
+            except ValueError as error:
                 log.warning("factor %s left out: %s", f.name, error)
         out = plan({"return": FUNCTIONS["returns"].make(1), **signals}, data)
         names = list(signals)
