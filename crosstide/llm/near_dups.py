@@ -186,7 +186,7 @@ LEAVES = [("doc_id", pa.int64()), ("leaf", pa.int64()), ("head", pa.int64()), ("
 
 
 def _grown(size: int, crowd: int):
-    """Rows (tree, key, doc_id) in order -> rows of leaves: doc_id, leaf, head (its first document), cut; a row without a leaf
+    """Rows (tree, key, doc_id) in order -> rows of leaves: doc_id, leaf, head (its least document), cut; a row without a leaf
     if it was cut off; and the part's two ends, with tree and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def _grown(size: int, crowd: int):
                 doc += docs[a:b].tolist()
                 name = xxhash.xxh3_64_intdigest(trees[a].tobytes() + keys[a].tobytes() + docs[a].tobytes()) >> 1
                 leaf += [name] * (b - a)
-                head += [int(docs[a])] * (b - a)
+                head += [int(docs[a:b].min())] * (b - a)
             inside = np.zeros(upto, bool)
             for a, b in found:
                 inside[a:b] = True
@@ -270,9 +270,11 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = join_keyed(both, low, "a", total=2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b")
+        large = join_keyed(both, low, "a", total=2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        # a node has a row for each lesser neighbour here, and hubs are the least of theirs: one exchange by node serves
+        # the distinct and the least
+        large = large.repartition(partitions(now.sparkSession), "a").distinct()
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a"))).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b")
         before, now = now, written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
         removed(before)
     pairs = now.groupBy("a").agg(F.min("b").alias("component"))
