@@ -6,10 +6,10 @@ so a bucket's sequences have equal length and are batched without padding, max_l
 batch. A piece needs nothing but its own document, so there is no shuffle: rows are numbered within their task, and
 the task's number stands above that.
 
-Ids are those of the tokenizer for the whole text. White space is dropped by it and bounds its words, so a text is
-split there and its chunks are looked up in a cache of bounded size; unknown chunks are split into the tokenizer's
-words, which are looked up in turn or encoded by its BPE model, several hundred at a time; a word ends at the token
-that carries the word-end mark. Chunks with unusual characters or `<|` go through the tokenizer itself.
+Ids are those of the tokenizer for the whole text, which is split into the tokenizer's words; these are looked up in a
+cache of bounded size, or encoded by its BPE model, several hundred at a time: a word ends at the token that carries the
+word-end mark. A text with unusual characters or `<|` is split at white space instead, which the tokenizer drops and
+which bounds its words, and its unusual chunks go through the tokenizer itself.
 
 Null or empty text: one piece, the end id alone. Repeated rows: a set of pieces each. Other columns are left out.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ ROWS = 4000
 class ChunkEncoder:
     """text -> its ids as little-endian unsigned 32-bit bytes."""
 
-    CHUNKS, WORDS = 300_000, 400_000
+    CHUNKS, WORDS = 100_000, 600_000
     #: Whatever is not Latin, and the capital I with a dot, whose small form is two characters.
     ODD = re.compile("[^\n\r\t\x20-\x7e\xa1-\u012f\u0131-\u024f]")
     BLANK = re.compile("[ \t\n\r]+")
@@ -52,6 +53,11 @@ class ChunkEncoder:
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(" "), "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         #: The tokenizer's own pattern of words, a fixed value.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        #: Its words that aren't runs of letters, in a text without odd characters: a first character that is neither
+        #: letter nor blank, and how the word goes on. One class in front lets the search skip letters quickly.
+        usual = [c for c in map(chr, range(0x250)) if not self.ODD.match(c) and not c.isspace()]
+        marks, numbers = ("".join(map(re.escape, (c for c in usual if unicodedata.category(c)[0] in kind))) for kind in ("CMPSZ", "N"))
+        self.between = re.compile(f"[{marks}{numbers}](?:(?<=')(?:s|t|re|ve|m|ll|d)|(?<![{numbers}])[{marks}]*|)")
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         for token, k in self.whole.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
@@ -99,19 +105,27 @@ class ChunkEncoder:
         return got
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        get, rows, gaps = self.of_chunk.get, [], []
+        get, rows, gaps, odd_gaps = self.of_word.get, [], [], []
         for t in texts:
-            chunks = self.BLANK.split(t.strip(" \t\n\r")) if self.ODD.search(t) else t.split()
-            ids = list(map(get, chunks))
+            if self.ODD.search(t) or "<|" in t:
+                parts = self.BLANK.split(t.strip(" \t\n\r"))
+                ids, left = list(map(self.of_chunk.get, parts)), odd_gaps
+            else:
+                parts = self.between.sub(r" \g<0> ", t.lower()).split()
+                ids, left = list(map(get, parts)), gaps
             rows.append(ids)
-            if None in ids:
-                k = -1
-                for _ in range(ids.count(None)):
-                    k = ids.index(None, k + 1)
-                    gaps.append((ids, k, chunks[k]))
-        more = self.learn({c for _, _, c in gaps if c}) if gaps else {}
+            k = -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                left.append((ids, k, parts[k]))
+        new = self._encode_words(list({w for _, _, w in gaps})) if gaps else {}
+        for ids, k, w in gaps:
+            ids[k] = new[w]
+        if len(self.of_word) < self.WORDS:
+            self.of_word |= new
+        more = self.learn({c for _, _, c in odd_gaps if c}) if odd_gaps else {}
         more[""] = b""
-        for ids, k, c in gaps:
+        for ids, k, c in odd_gaps:
             ids[k] = more[c]
         for ids in rows:
             yield b"".join(ids)

@@ -279,6 +279,17 @@ def test_packing(spark):
     assert packing.lengths(4096 * 2 + 13) == [4096, 4096, 8, 4, 1] and packing.pack(corpus(spark, docs).limit(0), path).count() == 0
 
 
+def test_packing_ids_of_odd_mixtures():
+    public = pytest.importorskip("public_tokenizers")
+    enc, r = packing.ChunkEncoder(public.path("word_bpe_49k.json")), random.Random(5)
+    usual = [c for c in map(chr, range(0x20, 0x250)) if not enc.ODD.match(c)]
+    pools = [usual, list("ab'stmdrevl .,1\n"), list("abcé'ES T<|>12!-_"), usual + list("İ\u0301中\x00\x0b\x85\xa0\u200bΣς"), list("'stmrdvel")]
+    texts = ["'", "''s", "!'s", "'small", "1's", "Ⱥbc ȺȾ", "x\xadx", *("".join(r.choice(pool) for _ in range(r.randint(0, 60))) for _ in range(300) for pool in pools)]
+    for _ in range(2):  # the second time from the cache
+        for t, got in zip(texts, enc.batch(texts), strict=True):
+            assert got == np.array(enc.whole.encode(t, add_special_tokens=False).ids, np.uint32).tobytes(), repr(t)
+
+
 def test_pii_redaction_keeps_other_columns(spark):
     schema = "row int, doc_id int, text string, found int, base double, spans string, more string, `a.b` string, n_chars int"
     rows = [(777, 1, "call john@ex.org now", 2, 3.5, "x", "y", "z", 20), (778, 1, None, None, None, None, None, None, None), (779, 2, "token 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", 0, 0.0, "", "", "", 46)]
