@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosstide.functions.kernels import INF
 from crosstide.operators import metrics
 from crosstide.operators.backtest import Backtest, forward_returns
 from crosstide.operators.quantile import QuantileAnalysis, coefficients, returns_by_bucket
@@ -119,9 +120,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 MOMENTUM, EVALUATED = "rank(returns(13)) - 0.5", "rank(volume(1)) - 0.5"
 
 
+def nearest(x: Column, digits: int) -> Column:
+    """As the SQL rounds: the product is a double, and its halves go away from zero. Spark's round goes by the number's
+    decimal text, and so another way beside a half."""
+    scaled = x * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < INF, F.round(scaled) / F.lit(10.0**digits)).otherwise(x)
+
+
 def rounded(c: str, digits: int = 6):
     """Negative zero becomes zero."""
-    return (F.round(F.col(c), digits) + F.lit(0.0)).alias(c)
+    return (nearest(F.col(c), digits) + F.lit(0.0)).alias(c)
 
 
 def srounded(c: str, digits: int = 6) -> str:
@@ -191,7 +199,7 @@ round(avg(returns) * 252 / nullif(-min(drop), 0), 4) + 0.0 AS calmar, round(avg(
 
 
 def _drawdowns(spark: SparkSession, d: str) -> DataFrame:
-    days = Backtest(alpha(EVALUATED)).daily(brand_panel(spark, d)).select("date", F.round("cumulative", 9).alias("value"))
+    days = Backtest(alpha(EVALUATED)).daily(brand_panel(spark, d)).select("date", nearest(F.col("cumulative"), 9).alias("value"))
     return metrics.drawdown_table(days).orderBy(F.desc("depth"), "start").limit(5).select("start", "trough", "end", rounded("depth"), "duration", "recovery")
 
 
@@ -261,7 +269,7 @@ _ASOF_SQL = f"WITH p AS ({supplier_panel_sql()}) SELECT p.date, p.ticker, e.even
 
 
 def _derived(spark: SparkSession, d: str) -> DataFrame:
-    return supplier_panel(spark, d).select("date", "ticker", F.round(ratio("event", "close"), 6).alias("value"))
+    return supplier_panel(spark, d).select("date", "ticker", nearest(ratio("event", "close"), 6).alias("value"))
 
 
 def _wide_long(spark: SparkSession, d: str) -> DataFrame:
@@ -275,7 +283,7 @@ RISK_FACTORS = [FactorDefinition("momentum", "rank(returns(13))"), FactorDefinit
 def _risk(spark: SparkSession, d: str) -> DataFrame:
     model = FactorRiskModel(RISK_FACTORS).fit(supplier_panel(spark, d), lookback=None, min_observations=10)
     out = model.factor_returns
-    return out.select("date", *[F.round(c, 6).alias(c) for c in out.columns if c != "date"])
+    return out.select("date", *[nearest(F.col(f"`{c}`"), 6).alias(c) for c in out.columns if c != "date"])
 
 
 def _specific(spark: SparkSession, d: str) -> DataFrame:
