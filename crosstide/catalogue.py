@@ -19,7 +19,7 @@ from crosstide.operators.risk import FactorDefinition, FactorRiskModel
 from crosstide.plans.parser import alpha, compute_weights
 from crosstide.plans.planner import plan, to_sql
 from crosstide.sources.catalog import LazyData
-from crosstide.sources.panels import asof_fill, brand_panel, brand_panel_sql, from_wide, ratio, supplier_panel, supplier_panel_sql, to_wide
+from crosstide.sources.panels import asof_fill, brand_panel, brand_panel_sql, from_blocks, ratio, supplier_panel, supplier_panel_sql, to_blocks
 
 WEEK, MONTH = "week", "month"
 #: name: expression, grain, digits
@@ -273,8 +273,8 @@ def _derived(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _wide_long(spark: SparkSession, d: str) -> DataFrame:
-    """To a matrix and back; cells that were missing stay."""
-    return from_wide(to_wide(supplier_panel(spark, d, MONTH).select("date", "ticker", F.col("close").alias("value"))))
+    """To a matrix, in blocks of columns, and back; cells that were missing stay."""
+    return from_blocks(to_blocks(supplier_panel(spark, d, MONTH).select("date", "ticker", F.col("close").alias("value"))))
 
 
 RISK_FACTORS = [FactorDefinition("momentum", "rank(returns(13))"), FactorDefinition("reversal", "rank(-returns(2))"), FactorDefinition("volatility", "rank(volatility(6))")]

@@ -16,17 +16,27 @@ def check_unique(df: DataFrame) -> DataFrame:
     return df
 
 
-def densify(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def densify(df: DataFrame, partitions: int | None = None, dates: DataFrame | None = None) -> DataFrame:
     """Every date of df for every ticker of df, missing cells NULL; dealt by ticker, as the time-series functions need it.
 
-    The calendar is one array: dates are few, and no join of all with all is needed.
+    dates: the dates of df, where they are cheaper to get than from df. The calendar is small, and a row stands for the
+    missing dates up to the ticker's next one: no grid is made to be joined.
     """
-    # calendar and tickers come from one aggregate of the same columns, so that Spark reads df once for both
-    own = df.groupBy("ticker").agg(F.collect_set("date").alias("own")).where(F.size("own") > 0)
-    calendar = own.select(F.explode("own").alias("date")).agg(F.array_sort(F.collect_set("date")).alias("dates"))
-    grid = own.crossJoin(F.broadcast(calendar)).select("ticker", F.explode("dates").alias("date"))
-    dealt = grid.repartition(partitions, "ticker") if partitions else grid.repartition("ticker")
-    return dealt.join(df, ["ticker", "date"], "left").select("date", "ticker", *[c for c in df.columns if c not in ("date", "ticker")])
+    calendar = (df if dates is None else dates).select("date").where(F.col("date").isNotNull()).distinct()
+    place = F.row_number().over(Window.orderBy("date")).alias("at")
+    days = calendar.select("date", place, F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    others = [c for c in df.columns if c not in ("date", "ticker")]
+    rows = df.select("ticker", "date", F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)], F.lit(True).alias("there")).alias("row")).join(F.broadcast(days), "date").drop("date")
+    dealt = rows.repartition(partitions, "ticker") if partitions else rows.repartition("ticker")
+    near = Window.partitionBy("ticker").orderBy("at")
+    first = F.lag("at").over(near).isNull()
+    after = F.greatest(F.coalesce(F.lead("at").over(near), F.col("n") + 1) - 1, F.col("at"))
+    # rows without a ticker are on each date once, and have nothing
+    named = F.col("ticker").isNotNull()
+    dealt = dealt.withColumns({"from": F.when(first, 1).otherwise(F.col("at")), "to": F.when(named, after).when(first, F.col("n"))}).where("to is not null")
+    filled = dealt.select("ticker", F.when(named, F.col("row")).alias("row"), F.col("at").alias("own"), F.explode(F.sequence(F.col("from").cast("int"), F.col("to").cast("int"))).alias("at"))
+    cell = lambda k: F.when(F.col("own") == F.col("at"), F.col(f"row.c{k}"))
+    return filled.join(F.broadcast(days.select("date", "at")), "at").select("date", "ticker", *[cell(k).alias(c) for k, c in enumerate(others)])
 
 
 def from_wide(df: DataFrame, date: str = "date") -> DataFrame:
@@ -35,11 +45,28 @@ def from_wide(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def to_wide(df: DataFrame, tickers: list[str] | None = None) -> DataFrame:
-    """(date, ticker, value) as a matrix sorted by date; doubled cells are refused."""
+    """(date, ticker, value) as a matrix sorted by date; doubled cells are refused. For more tickers than a table can
+    have columns (spark.sql.pivotMaxValues) there is to_blocks."""
     grouped = check_unique(df).groupBy("date")
     return (grouped.pivot("ticker", tickers) if tickers else grouped.pivot("ticker")).agg(F.first("value")).orderBy("date")
 
 
+def to_blocks(df: DataFrame, blocks: int = 1024) -> DataFrame:
+    """(date, ticker, value) as a matrix in blocks of columns: date, block, the block's tickers, their values. A row for
+    each date and block, so that a matrix may be wider than a table can have columns; doubled cells fail as it is read."""
+    cells = densify(df.select("date", "ticker", "value")).select("date", F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int").alias("block"), F.struct("ticker", "value").alias("cell"))
+    rows = cells.groupBy("date", "block").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    tickers = F.col("cells.ticker")
+    checked = F.when(F.size(F.array_distinct(tickers)) == F.size(tickers), tickers).otherwise(F.raise_error(F.concat(F.lit("more than one row for a ticker on "), F.col("date").cast("string"))).cast("array<string>"))
+    return rows.select("date", "block", checked.alias("tickers"), F.col("cells.value").alias("values"))
+
+
+def from_blocks(df: DataFrame) -> DataFrame:
+    """A matrix in blocks as (date, ticker, value)."""
+    cells = df.select("date", F.explode(F.arrays_zip("tickers", "values")).alias("cell"))
+    return cells.select("date", F.col("cell.tickers").alias("ticker"), F.col("cell.values").alias("value"))
+
+
 def asof_fill(daily: DataFrame, sparse: DataFrame, columns: list[str]) -> DataFrame:
     """daily (date, ticker) with the columns of the last row of sparse on or before each date, missing ones included."""
     keys = daily.select("date", "ticker").withColumn("asked", F.lit(True))
@@ -81,7 +108,8 @@ def supplier_panel(spark, sf_dir: str, grain: str = "week") -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     items = read("lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("ticker"), _cents().alias("cents"), _quantity().alias("quantity"))
     items = items.withColumn("price", _price(F.col("cents"), F.col("quantity")))
-    traded = items.groupBy(F.to_date(F.date_trunc(grain, "l_shipdate")).alias("date"), "ticker").agg(
+    day = F.to_date(F.date_trunc(grain, "l_shipdate")).alias("date")
+    traded = items.groupBy(day, "ticker").agg(
         _price(F.sum("cents"), F.sum("quantity")).alias("close"),
         (F.sum("quantity") / F.lit(100.0)).alias("volume"),
         F.min("price").alias("low"),
@@ -91,7 +119,7 @@ def supplier_panel(spark, sf_dir: str, grain: str = "week") -> DataFrame:
     traded = traded.withColumn("event", F.when(F.col("volume") > 60, F.col("volume") / 10))
     nations = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     profiles = read("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("string").alias("ticker"), F.col("r_name").alias("sector"), F.col("n_name").alias("nation"))
-    return with_static(densify(traded), profiles, ["sector", "nation"])
+    return with_static(densify(traded, dates=items.select(day)), profiles, ["sector", "nation"])
 
 
 def _sprice(cents: str, quantity: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crosstide import LazyData, alpha, compute_context
 from crosstide.plans.planner import plan
-from crosstide.sources.panels import check_unique, densify
+from crosstide.sources.panels import check_unique, densify, from_blocks, to_blocks
 
 DAYS, TICKERS = 30, 6
 
@@ -274,3 +274,25 @@ def test_exponential_weights_without_cancellation(spark):
 def test_returns_of_another_price(panel):
     got = plan({"a": alpha("returns(2, 'volume')"), "b": alpha("volatility(3, 'volume')")}, panel).toPandas()
     assert got.a.notna().any() and got.b.notna().any()
+
+
+def test_matrix_in_blocks(spark):
+    """More tickers than a pivot may have columns (10,000): there and back, missing cells as rows; doubled cells fail."""
+    wide = spark.range(10_500).selectExpr("if(id % 3 = 0, date'2024-01-02', date'2024-01-01') date", "concat('t', id) ticker", "cast(id as double) value")
+    blocks = to_blocks(wide, 16)
+    assert blocks.count() == 32
+    back = from_blocks(blocks)
+    assert back.count() == 21_000 and back.columns == ["date", "ticker", "value"]
+    assert sorted(map(tuple, back.where("value is not null").collect())) == sorted(map(tuple, wide.collect()))
+    with pytest.raises(Exception, match="more than one row"):
+        to_blocks(wide.unionByName(wide.limit(1))).collect()
+
+
+def test_densify_fills_gaps(spark):
+    """Gaps before, between and after a ticker's dates; rows without a date or ticker; dates from elsewhere."""
+    rows = [(2, "a", 1.0), (5, "a", None), (1, "b", 2.0), (7, "c", 3.0), (None, "d", 4.0), (None, "c", 5.0), (1, None, 6.0), (1, None, 7.0), (5, None, 8.0)]
+    df = spark.createDataFrame(rows, "d int, ticker string, `x.y` double").selectExpr("date_add(date'2024-01-01', d) date", "ticker", "`x.y`")
+    for dates in (None, df.select("date")):
+        got = sorted([(r[0].day - 1, r[1], r[2]) for r in densify(df, dates=dates).collect()], key=str)
+        held = {(2, "a"): 1.0, (1, "b"): 2.0, (7, "c"): 3.0}
+        assert got == sorted([(d, t, held.get((d, t))) for d in (1, 2, 5, 7) for t in ("a", "b", "c", None)], key=str)
