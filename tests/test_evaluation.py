@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from crosstide import Backtest, FactorDefinition, FactorRiskModel, QuantileAnalysis, alpha, calmar_ratio, compute_weights, max_drawdown, return_on_gmv, sharpe_ratio, sortino_ratio, top_drawdowns
 from crosstide.sources.files import read_fields, write_fields
@@ -164,3 +165,21 @@ def test_asof_copies_whole_rows(spark):
     days = spark.createDataFrame([(k, "a") for k in range(5)], "date int, ticker string")
     sparse = spark.createDataFrame([(1, "a", 1.0, 5.0), (3, "a", None, 6.0)], "date int, ticker string, x double, y double")
     assert [tuple(r)[2:] for r in asof_fill(days, sparse, ["x", "y"]).orderBy("date").collect()] == [(None, None), (1.0, 5.0), (1.0, 5.0), (None, 6.0), (None, 6.0)]
+
+
+def test_weights_do_not_depend_on_the_order_of_rows(spark):
+    """Ranks less a half of n tickers add up to n / 4 for an even n; plain sums end in other digits by their order."""
+    from fractions import Fraction
+
+    from crosstide.operators.weights import total, weight
+
+    n = 30_000
+    values = [k / n - 0.5 for k in range(1, n + 1)]
+    exact = float(sum(Fraction(abs(v)) for v in values))
+    for order in (1, -1, 7919):
+        rows = [(0, k, values[(k * order) % n]) for k in range(n)]
+        df = spark.createDataFrame(rows, "date int, k int, value double").coalesce(1).sortWithinPartitions("k")
+        got = df.select("value", total(F.abs("value")).alias("total"), weight(F.col("value")).alias("w")).toPandas()
+        assert set(got["total"]) == {exact} and (got["w"] == got["value"] / exact).all()
+    odd = spark.createDataFrame([(0, 0.0), (0, None), (1, math.inf), (1, 2.0), (2, 1e-300), (2, -3e-300)], "date int, value double")
+    assert sorted(r.w for r in odd.select(weight(F.col("value")).alias("w")).collect()) == [-0.75, 0.0, 0.0, 0.0, 0.0, 0.25]
