@@ -75,11 +75,12 @@ def rolled(agg: Callable[[Column], Column]):
 
 
 def _rank(x: Column, *by: str) -> Column:
-    """Ascending rank, ties averaged, over the number present: both directions' ranks need only the one partitioning."""
-    w = Window.partitionBy(*by)
-    n = F.count(x).over(w)
-    up, down = F.rank().over(w.orderBy(x.asc_nulls_last())), F.rank().over(w.orderBy(x.desc_nulls_last()))
-    return F.when(x.isNotNull(), (up + n + 1 - down) / F.lit(2.0) / n)
+    """Ascending rank, ties averaged, over the number present: one sort, and one window with three frames. Up to a row's
+    peers, as many are present as the last of them ranks."""
+    w = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
+    first, last = F.rank().over(w), F.count(x).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    n = F.count(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.when(x.isNotNull(), (first + last) / F.lit(2.0) / n)
 
 
 def _skew(c: list[Column], v: tuple) -> Column:

@@ -296,3 +296,9 @@ def test_densify_fills_gaps(spark):
         got = sorted([(r[0].day - 1, r[1], r[2]) for r in densify(df, dates=dates).collect()], key=str)
         held = {(2, "a"): 1.0, (1, "b"): 2.0, (7, "c"): 3.0}
         assert got == sorted([(d, t, held.get((d, t))) for d in (1, 2, 5, 7) for t in ("a", "b", "c", None)], key=str)
+
+
+def test_rank_sorts_once(panel):
+    """Three windows and two sorts a rank held three copies of a date at once."""
+    plain = plan({"v": alpha("rank(close()) + rank(volume(1))")}, panel)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Window [" in line and "rank" in line for line in plain.splitlines()) == 2 and plain.count("DESC NULLS") == 0
