@@ -16,6 +16,10 @@ from crosstide.plans.planner import fields_of, ordered, plan
 from crosstide.shipping import ship
 from crosstide.sources.catalog import panel_of
 
+def data_fields(signals: dict) -> list[str]:
+    return fields_of(ordered(list(signals.values())))[0]
+
+
 log = logging.getLogger(__name__)
 
 
@@ -72,25 +76,27 @@ class FactorRiskModel:
                 signals[f.name] = x
             except ValueError as error:
                 log.warning("factor %s left out: %s", f.name, error)
-        out = plan({"return": FUNCTIONS["returns"].make(1), **signals}, data)
-        names = list(signals)
-        if self.include_industries:
-            try:
-                labels = panel_of(data, [], [self.industry_column])
-            except ValueError:
-                return out, names
-            found = sorted(r[0] for r in labels.select(self.industry_column).where(F.col(self.industry_column).isNotNull()).distinct().collect())
-            out = out.join(labels, ["date", "ticker"], "left")
-            dummies = {f"{INDUSTRY}{g}": F.when(F.col(self.industry_column) == g, 1.0).otherwise(0.0) for g in found}
-            out, names = out.withColumns(dummies).drop(self.industry_column), [*names, *dummies]
-        return out, names
+        signals, names, column = {"return": FUNCTIONS["returns"].make(1), **signals}, list(signals), self.industry_column
+        try:
+            labels = panel_of(data, [], [column]) if self.include_industries else None
+        except ValueError:
+            labels = None
+        if labels is None:
+            return plan(signals, data), names
+        found = sorted(labels.agg(F.collect_set(column)).first()[0])
+        # a panel is read once for both; a catalogue's labels keep their own dates
+        beside = isinstance(data, DataFrame) and column not in (*signals, *data_fields(signals))
+        out = plan(signals, data, keep=(column,)) if beside else plan(signals, data).join(labels, ["date", "ticker"], "left")
+        dummies = {f"{INDUSTRY}{g}": F.when(F.col(column) == g, 1.0).otherwise(0.0) for g in found}
+        return out.withColumns(dummies).drop(column), [*names, *dummies]
 
     def fit(self, data, lookback: int | None = 252, min_observations: int = 10) -> FactorRiskModel:
         """lookback: the last dates to fit; None: all."""
         x, names = self.exposures(data)
-        dates = x.select("date").distinct().orderBy(F.desc("date"))
-        last = (dates if lookback is None else dates.limit(lookback)).agg(F.min("date"), F.max("date")).first()
-        x = x.where(F.col("date").between(*map(F.lit, last))).persist()
+        if lookback is not None:
+            dates = x.select("date").distinct().orderBy(F.desc("date")).limit(lookback)
+            x = x.where(F.col("date").between(*map(F.lit, dates.agg(F.min("date"), F.max("date")).first())))
+        x = x.where("date is not null").persist()
         ship(x.sparkSession)
         k = len(names)
 
@@ -104,7 +110,7 @@ class FactorRiskModel:
             spread = ((y - y.mean()) ** 2).sum()
             return pd.DataFrame({"date": [pdf["date"].iloc[0]], "fit": [1 - ((y - design @ b) ** 2).sum() / spread if spread else float("nan")], "coefficients": [b.tolist()]})
 
-        fitted = x.groupBy("date").applyInPandas(regress, "date date, fit double, coefficients array<double>").persist()
+        fitted = x.select("date", "return", *[F.col(f"`{n}`") for n in names]).groupBy("date").applyInPandas(regress, "date date, fit double, coefficients array<double>").persist()
         if not fitted.limit(1).count():
             raise ValueError("no date has enough complete rows for a regression")
         factor = fitted.select("date", *[F.col("coefficients")[j + 1].alias(n) for j, n in enumerate(names)], F.col("coefficients")[0].alias(MARKET))
@@ -117,7 +123,7 @@ class FactorRiskModel:
         # a missing exposure makes the residual missing, as a sum with it is
         predicted = F.aggregate(F.zip_with("held", F.slice("coefficients", 2, k), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) if k else F.lit(0.0)
         specific = joined.withColumn("left", (F.col("return") - F.col("coefficients")[0] - predicted) * F.col("share")).groupBy("ticker").agg((F.var_samp("left") * YEAR).alias("value"))
-        exposures = x.where(F.col("date") == F.lit(last[1])).select("ticker", *names)
+        exposures = x.where(F.col("date") == F.lit(x.agg(F.max("date")).first()[0])).select("ticker", *names)
         self.results_ = RiskModelResults(factor, covariance, specific, fitted.select("date", F.col("fit").alias("value")), exposures)
         return self
 
@@ -129,7 +135,7 @@ class FactorRiskModel:
 
     def get_exposures(self, data, date=None) -> DataFrame:
         x, names = self.exposures(data)
-        at = x.agg(F.max("date")).first()[0] if date is None else date
+        at = (data if isinstance(data, DataFrame) else x).agg(F.max("date")).first()[0] if date is None else date
         return x.where(F.col("date") == F.lit(at).cast("date")).select("ticker", *names)
 
     def _fitted(self) -> RiskModelResults:

@@ -103,8 +103,9 @@ def fields_of(nodes: list[Signal]) -> tuple[list[str], list[str]]:
     return numeric, groups
 
 
-def plan(signals: dict[str, Signal], data, start=None, end=None) -> DataFrame:
-    """(date, ticker, a column for each signal) over data; start, end: first and last date, inclusive."""
+def plan(signals: dict[str, Signal], data, start=None, end=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(date, ticker, a column for each signal, those of keep) over data; start, end: first and last date, inclusive; keep:
+    group fields to hand on."""
     from crosstide.sources.catalog import panel_of, resolve_data
 
     data = resolve_data(data)
@@ -114,7 +115,7 @@ def plan(signals: dict[str, Signal], data, start=None, end=None) -> DataFrame:
     if context := get_context():
         context.cache.update((x.cache_key(), x) for x in nodes if x.op != "row")
     numeric, groups = fields_of(nodes)
-    panel = panel_of(data, numeric, groups)
+    panel = panel_of(data, numeric, [*groups, *[g for g in keep if g not in groups]])
     back = [lookback(x) for x in signals.values()]
     if start is not None and None not in back:
         panel = _recent(panel, start, max(back, default=0))
@@ -141,7 +142,7 @@ def plan(signals: dict[str, Signal], data, start=None, end=None) -> DataFrame:
         out = out.withColumns({names[x.cache_key()]: column(x) for x in wave if x.op != "constant" and all(x is not f for f in far)})
         for x in far:
             out = _ewma_by_ticker(out, x, [names[k.cache_key()] for k in x.operands if k.op != "row"], names[x.cache_key()])
-    out = out.select("date", "ticker", *[operand(x).alias(name) for name, x in signals.items()])
+    out = out.select("date", "ticker", *[operand(x).alias(name) for name, x in signals.items()], *[F.col(f"`{g}`") for g in keep])
     return out if start is None else out.where(F.col("date") >= F.lit(start).cast("date"))
 
 

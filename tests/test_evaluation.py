@@ -183,3 +183,15 @@ def test_weights_do_not_depend_on_the_order_of_rows(spark):
         assert set(got["total"]) == {exact} and (got["w"] == got["value"] / exact).all()
     odd = spark.createDataFrame([(0, 0.0), (0, None), (1, math.inf), (1, 2.0), (2, 1e-300), (2, -3e-300)], "date int, value double")
     assert sorted(r.w for r in odd.select(weight(F.col("value")).alias("w")).collect()) == [-0.75, 0.0, 0.0, 0.0, 0.0, 0.25]
+
+
+def test_exposures_read_the_panel_once(spark, market, tmp_path):
+    """Labels came from a second reading, joined; a labelled panel hands its own on."""
+    market.write.parquet(str(tmp_path / "panel"))
+    panel = spark.read.parquet(str(tmp_path / "panel"))
+    model = FactorRiskModel([FactorDefinition("momentum", "rank(returns(3))")])
+    x, names = model.exposures(panel)
+    assert names == ["momentum", "ind_even", "ind_odd"]
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    rows = model.get_exposures(panel).toPandas()
+    assert len(rows) == TICKERS and (rows["ind_even"] == (rows["ticker"].str[-1].astype(int) % 2 == 0)).all()
